@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -45,8 +48,15 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows that go to a Python worker at once: texts are long, workers have little memory."""
+    """Rows that go to a Python worker at once: texts are long, workers have little memory. Ships this package too."""
     spark.conf.set(ARROW_ROWS, str(rows))
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        to = tempfile.mkdtemp(prefix="tidemark-code-")  # Spark's file server on the driver sends it to the executors
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
+        context._tidemark_shipped = True
 
 
 def crc_mod(column, n: int):
