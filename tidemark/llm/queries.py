@@ -8,6 +8,8 @@ from .common import table
 
 #: query name: module of this folder, function (spark, sf_dir) of it
 WHERE = {
+    "op3_language_id": ("language_id", "language_of_documents", "documents"),
+    "op4_best_fit_packing": ("packing", "packed_documents", "documents"),
     "op7_source_mixing": ("mixing", "mixed_sizes", "documents"),
 }
 ORACLE_MODULES = {"op7_source_mixing": "mixing"}
