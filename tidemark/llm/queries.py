@@ -10,6 +10,8 @@ from .common import table
 WHERE = {
     "op3_language_id": ("language_id", "language_of_documents", "documents"),
     "op4_best_fit_packing": ("packing", "packed_documents", "documents"),
+    "op5_fingerprints": ("fingerprints", "fingerprints", "documents"),
+    "op6_personal_data": ("pii", "personal_data", "documents"),
     "op7_source_mixing": ("mixing", "mixed_sizes", "documents"),
 }
 ORACLE_MODULES = {"op7_source_mixing": "mixing"}
