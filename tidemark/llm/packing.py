@@ -14,7 +14,10 @@ every match of the tokenizer's splitting pattern, so words between ASCII white s
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,8 @@ from .common import discard, materialise, small_batches
 CAPACITY, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces in a partition of best-fit decreasing; about 10 MB.
 PART_ROWS = 50_000
-#: Words whose ids a worker remembers; about 80 MB.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker remembers; about 200 MB.
+MEMO_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "part long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, released boolean, gap long"
 
@@ -41,49 +44,44 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo = {}
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        self.memo: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of new words. A full stop or comma after an ASCII letter is always a token of its own, so stems are shared."""
+        memo = self.memo
+        if len(memo) + len(words) > MEMO_WORDS:
+            memo.clear()
+        ended = [w for w in words if w[-1:] in b".," and w[-2:-1].isalpha()]
+        stems = list({*(w[:-1] for w in ended), *words.difference(ended), b".", b","}.difference(memo))
+        for at in range(0, len(stems), 20_000):
+            some = stems[at : at + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
+                memo[w] = array("I", e.ids).tobytes()
+        for w in ended:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        """Batch of texts to ids. ASCII controls FS to US are white space to str.split() alone, so they're tokenized in place."""
-        split = [_ascii_words(t) for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.memo}
-        if len(missing) > MEMO_WORDS // 2:
-            return [b"".join(self._long(ws)) for ws in split]
-        if missing:
-            self.learn(sorted(missing))
-            if any(w not in self.memo for ws in split for w in ws):  # forgotten by the bound just now
-                self.learn(sorted({w for ws in split for w in ws if w not in self.memo}))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def _long(self, words: list[str]):
-        for at in range(0, len(words), MEMO_WORDS // 4):
-            some = words[at : at + MEMO_WORDS // 4]
-            if missing := {w for w in some if w not in self.memo}:
-                self.learn(sorted(missing))
-            if missing := {w for w in some if w not in self.memo}:
-                self.learn(sorted(missing))
-            yield b"".join(map(self.memo.__getitem__, some))
-
-
-def _ascii_words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w.decode() for w in text.encode("utf-8", "replace").split()]
+        split = [_words(t) for t in texts]
+        every = set(chain.from_iterable(split))
+        if len(every) > MEMO_WORDS // 4 and len(texts) > 1:
+            half = len(texts) // 2
+            return self.of(texts[:half]) + self.of(texts[half:])
+        if missing := every.difference(self.memo):
+            self.learn(missing)
+            if missing := every.difference(self.memo):  # the memory was full and is empty but for the new ones
+                self.learn(missing)
+        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+
+
+def _words(text: str | None) -> list[bytes]:
+    """What lies between ASCII white space. A-Z become small, as the tokenizer does itself, unless marks may combine with them."""
+    raw = (text or "").encode("utf-8", "replace")
+    return (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
 
 
 def words_of(path: str) -> Words:
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _tokenizers[path] = Words(path)
     return _tokenizers[path]
 
