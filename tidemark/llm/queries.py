@@ -13,6 +13,7 @@ WHERE = {
     "op5_fingerprints": ("fingerprints", "fingerprints", "documents"),
     "op6_personal_data": ("pii", "personal_data", "documents"),
     "op7_source_mixing": ("mixing", "mixed_sizes", "documents"),
+    "op10_embedding_dedup": ("embedding_dedup", "near_vectors", "embeddings"),
 }
 ORACLE_MODULES = {"op7_source_mixing": "mixing"}
 
