@@ -44,6 +44,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -53,13 +55,28 @@ class Words:
             memo.clear()
         ended = [w for w in words if w[-1:] in b".," and w[-2:-1].isalpha()]
         stems = list({*(w[:-1] for w in ended), *words.difference(ended), b".", b","}.difference(memo))
-        for at in range(0, len(stems), 20_000):
-            some = stems[at : at + 20_000]
+        plain, rest = [], []
+        for w in stems:
+            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
+        for at in range(0, len(plain), 2_000):
+            rest += self._learn_letters(plain[at : at + 2_000])
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
                 memo[w] = array("I", e.ids).tobytes()
         for w in ended:
             memo[w] = memo[w[:-1]] + memo[w[-1:]]
 
+    def _learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters are one unit of the tokenizer each, so their ids end at the ids with a word end. Those not learned."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return words
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        self.memo.update(zip(words, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        return []
+
     def of(self, texts: list[str | None]) -> list[bytes]:
         split = [_words(t) for t in texts]
         every = set(chain.from_iterable(split))

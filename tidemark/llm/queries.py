@@ -9,6 +9,7 @@ from .common import table
 #: query name: module of this folder, function (spark, sf_dir) of it
 WHERE = {
     "op1_html_extraction": ("html_extraction", "extracted", "pages"),
+    "op2_minhash_dedup": ("minhash_dedup", "near_groups", "documents"),
     "op3_language_id": ("language_id", "language_of_documents", "documents"),
     "op4_best_fit_packing": ("packing", "packed_documents", "documents"),
     "op5_fingerprints": ("fingerprints", "fingerprints", "documents"),
