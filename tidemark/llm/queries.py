@@ -15,6 +15,7 @@ WHERE = {
     "op5_fingerprints": ("fingerprints", "fingerprints", "documents"),
     "op6_personal_data": ("pii", "personal_data", "documents"),
     "op7_source_mixing": ("mixing", "mixed_sizes", "documents"),
+    "op8_lm_scoring": ("lm_scoring", "scored", "documents"),
     "op9_suffix_dedup": ("suffix_dedup", "repeats_removed", "documents"),
     "op10_embedding_dedup": ("embedding_dedup", "near_vectors", "embeddings"),
 }
