@@ -307,8 +307,14 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group: the one of its least doc_id, or of those without doc_id all that have no group with one."""
-    kept = near_groups(docs.select("doc_id", "text"), k, percent).select("doc_id", "component_id", "kept")
-    keep = kept.filter(F.col("kept")).select(F.col("doc_id").alias("__keep")).distinct()
-    with_id = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns)
+    """docs with one row of each group, that of its least doc_id; all columns stay.
+
+    A row without doc_id stands for its text, behind all with one. Of rows that repeat a doc_id one stays. Rows without
+    words are alike to nothing and stay.
+    """
+    behind = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 2) + F.lit(1 << 62)
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind))
+    kept = materialise(near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent).filter("kept").select(F.col("doc_id").alias("__key")), "minhash-kept")
+    repeated = not kept.groupBy("__key").count().filter(F.col("count") > 1).isEmpty()
+    out = keyed.join(kept.distinct() if repeated else kept, "__key", "left_semi")
+    return (out.dropDuplicates(["__key"]) if repeated else out).select(*docs.columns)
