@@ -1,4 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import pack_queries, search_queries, stream_queries, text_queries  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
