@@ -8,7 +8,9 @@ Nodes over NODE classes branch as tables, smaller ones inside a task. Similarity
 from their values, with a margin of over five standard deviations, then confirmed on the full sets.
 
 The first pass links classes to leaders of their node only, so that a group of near copies costs its size. The second
-compares whatever isn't connected yet, exhaustively. What is too large at the last level is compared in pairs of blocks.
+compares whatever isn't connected yet, exhaustively: the classes of a node that may have partners in other components
+meet once more with their full sets, and give a link for each two components that join, never all pairs. What is too
+large at the last level, or has too many shingles for a task, is compared in pairs of blocks.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z made small; a text of fewer words than a shingle is one shingle; without words or
 text the set is empty and links with nothing: n_shingles 0, component_id = doc_id, kept. Null doc_id: linked, but
@@ -32,6 +34,8 @@ WORDS, PERCENT = 2, 80
 COORDINATES, TREES, BRANCHES = 64, 5, 2
 #: Classes of a node that a task takes, and that it compares without branching; levels of tables and inside a task.
 NODE, LEAF, LEVELS, DEPTH, BLOCK = 4000, 40, 12, 10, 1500
+#: Comparisons of a node that are cheaper than branching it, and shingles of a group that come together; 16 MB.
+DIRECT, TOGETHER = 4_000_000, 2_000_000
 #: Estimated partners share this many of the coordinates at least.
 SHARED = COORDINATES * PERCENT // 100 - math.ceil(5.5 * math.sqrt(COORDINATES * 0.16))
 #: Ids that are sent to all executors; more are joined by a shuffle.
@@ -134,6 +138,8 @@ class _Node:
     def __init__(self, ids, sizes, component, sig, again: bool):
         self.ids, self.sizes, self.component, self.sig, self.again = ids, sizes, component, sig, again
         self.pairs: list[np.ndarray] = []
+        self.groups: list[np.ndarray] = []
+        self.serial = 0
 
     def near(self, one: int, others: np.ndarray) -> np.ndarray:
         """Which others may be partners, by size and shared coordinates."""
@@ -162,23 +168,33 @@ class _Node:
             rows = self.lead(rows, 0.0)
 
     def across(self, rows: np.ndarray):
-        """Pairs of different components."""
+        """Rows that may have partners in other components, as groups to be compared on full sets."""
         kinds, of, count = np.unique(self.component[rows], return_inverse=True, return_counts=True)
         if len(kinds) < 2:
             return
-        most = of == count.argmax()
-        done = np.zeros(len(rows), bool)
+        touched, most = np.zeros(len(rows), bool), of == count.argmax()
         for i in np.flatnonzero(~most):
-            done[i] = True
-            others = rows[(of != of[i]) & ~done]
-            self.pair(rows[i], others[self.near(rows[i], others)])
+            others = np.flatnonzero(of != of[i])
+            hit = others[self.near(rows[i], rows[others])]
+            touched[hit] = True
+            touched[i] |= len(hit) > 0
+        rows = rows[touched]
+        if not len(rows):
+            return
+        block = np.cumsum(self.sizes[rows]) // TOGETHER
+        blocks = [rows[block == b] for b in np.unique(block)]
+        for i, one in enumerate(blocks):
+            for other in blocks[i + 1 :] or ([] if i else [one[:0]]):
+                own = np.concatenate((one, other))
+                self.groups.append(np.stack([np.full(len(own), self.serial), self.ids[own], self.component[own]], axis=1))
+                self.serial += 1
 
     def walk(self, rows: np.ndarray, node: np.uint64, depth: int):
         if self.again:
             _, count = np.unique(self.component[rows], return_counts=True)
             if len(count) < 2:
                 return
-            if len(rows) <= LEAF or depth == DEPTH or (len(rows) - count.max()) * len(rows) <= 250_000:
+            if len(rows) <= LEAF or depth == DEPTH or (len(rows) - count.max()) * len(rows) <= DIRECT:
                 return self.across(rows)
         else:
             if len(rows) > LEAF:
@@ -194,7 +210,7 @@ class _Node:
 
 
 def _search(rows: DataFrame, again: bool, deep: bool) -> DataFrame:
-    """(a, b) that may be partners, from rows in whose nodes no more than a task's classes are."""
+    """From rows in whose nodes no more than a task's classes are: (a, b) that may be partners, or again (g, id, component) of groups."""
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -207,17 +223,22 @@ def _search(rows: DataFrame, again: bool, deep: bool) -> DataFrame:
                     if len(part) > 1:
                         n = _Node(ids, sizes, component, sig, again)
                         n.walk(part[np.argsort(ids[part], kind="stable")], node[part[0]].view(np.uint64), DEPTH if deep else 0)
-                        found += n.pairs
+                        for g in n.groups:
+                            g[:, 0] = mix(mix(node[part[0]].view(np.uint64)) + g[:, 0].astype(np.uint64)).view(np.int64)
+                        found += n.groups if again else n.pairs
                 if found:
-                    p = np.sort(np.concatenate(found), axis=1)
-                    p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+                    p = np.concatenate(found)
+                    if not again:
+                        p = np.sort(p, axis=1)
+                        p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in p.T], ["g", "id", "component"] if again else ["a", "b"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    schema = "g long, id long, component long" if again else "a long, b long"
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
 def candidates(classes: DataFrame, again: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of all trees; again: of different components only, exhaustively."""
+    """Distinct (a, b), a < b, of all trees; again: groups (g, id, component) with all that may be partners across components."""
     rows, found = _roots(classes), None
     for level in range(LEVELS + 1):
         large = materialise(rows.groupBy("node").count().filter(F.col("count") > NODE), "minhash-large")
@@ -246,9 +267,8 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return r.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "n", "component", "sig")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have the similarity. Only texts that a pair needs are read into sets, once a class."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _members(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, members) of classes: their full sets. Only texts of those classes are read into sets, one a class."""
     wanted = materialise(classes.join(ids, "id").select("id", "least"), "minhash-wanted")
     nobody = F.lit(-(1 << 63))
     keys = wanted.select(F.coalesce("least", nobody).alias("__key")).distinct()
@@ -264,8 +284,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
                 raw = [value[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(value, start)), pa.array(raw, pa.binary())], ["id", "members"])
 
-    members = texts.select("text").mapInArrow(sets, "id long, members binary").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    members = materialise(members, "minhash-sets")
+    members = texts.select("text").mapInArrow(sets, "id long, members binary").join(wanted.select("id"), "id", "left_semi")
+    return materialise(members.dropDuplicates(["id"]), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have the similarity."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    members = _members(ids, classes, docs, k)
     both = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
 
     def check(batches):
@@ -284,6 +310,43 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def joining_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Exact links of a group that join components, one for each two that join. Shared members are counted by inverted lists."""
+    size = np.array([len(x) for x in sets])
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(member, kind="stable")]
+    list_at = np.concatenate(([0], np.cumsum(np.bincount(member))))
+    at = np.concatenate(([0], np.cumsum(size)))
+    _, root, count = np.unique(component, return_inverse=True, return_counts=True)
+    links = []
+    for i in np.flatnonzero(root != count.argmax()):
+        own = member[at[i] : at[i + 1]]
+        shared = np.bincount(np.concatenate([holder[list_at[m] : list_at[m + 1]] for m in own.tolist()]), minlength=len(sets))
+        near = np.flatnonzero((100 * shared >= percent * (size + size[i] - shared)) & (root != root[i]))
+        for j in near[np.unique(root[near], return_index=True)[1]].tolist():
+            links.append((int(ids[i]), int(ids[j])))
+            root[root == root[j]] = root[i]
+    return links
+
+
+def _joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of exact links that join components."""
+    members = _members(groups.select("id").distinct(), classes, docs, k)
+
+    def run(batches):
+        for batch in whole_groups(batches):
+            group, ids, component = (batch.column(i).to_numpy() for i in range(3))
+            links: list[tuple[int, int]] = []
+            for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).take(pa.array(part)).to_pylist()]
+                links += joining_links(ids[part], component[part], sets, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["a", "b"])
+
+    together = groups.join(members, "id").select("g", "id", "component", "members").repartition("g").sortWithinPartitions("g", "id")
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     rows = materialise(signatures(docs, k), "minhash-rows")
@@ -294,9 +357,9 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     first = materialise(components(links), "minhash-components")
     placed = classes.drop("component").join(first, F.col("id") == F.col("node"), "left")
     placed = materialise(placed.select("id", "n", "sig", "least", F.coalesce("component", "id").alias("component")), "minhash-classes")
-    more = materialise(candidates(placed, again=True).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    more = materialise(candidates(placed, again=True), "minhash-groups")
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, classes, docs, k, percent))
+        links = links.unionByName(_joined(more, classes, docs, k, percent))
         first = materialise(components(links), "minhash-components")
     groups = classes.select("id", "least").join(first, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("least").alias("lowest"))
