@@ -310,7 +310,7 @@ def score_streams(w: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = S
             k = active[t]
             h = h[:k]
             if any_fresh[t]:
-                h[fresh[t, :k]] = 0
+                h = np.where(fresh[t, :k, None], np.float32(0), h)
             g, hu = inputs[x[t, :k]], h @ u
             zr = g[:, : 2 * n]
             zr += hu[:, : 2 * n]
