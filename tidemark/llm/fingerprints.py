@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SHINGLE, FRACTION = 5, 1 / 4
-#: Rows that a window holds in memory, and the most buckets of the order of doc_id.
+#: Rows of a bucket of the order of doc_id, which a window holds in memory, and the most quantiles that part them.
 BUCKET_ROWS, BUCKETS = 3000, 1000
 
 
@@ -65,6 +65,34 @@ def written(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 16)), 12, "0")), "")
 
 
+def _bucket(d: DataFrame) -> Column:
+    """A number that grows with doc_id, of about BUCKET_ROWS rows: the range between two quantiles, cut evenly where they are too many."""
+    n, low, high = d.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    wanted = math.ceil(n / BUCKET_ROWS)
+    if wanted < 2 or low is None or low == high:
+        return F.lit(0).cast("long")
+    parts = min(wanted, BUCKETS)
+    found = d.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0]
+    inner = sorted({b for b in found if low <= b < high})
+    edges, doc_id = F.array(*[F.lit(b).cast("long") for b in [low - 1, *inner, high]]), F.col("doc_id")
+
+    def halve(a: Column, _: Column) -> Column:  # the edges up to a.lo are below doc_id, those from a.hi on aren't
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = F.get(edges, middle) < doc_id
+        return F.struct(F.when(below, middle).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(len(inner) + 2)))))
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(inner) + 1).alias("hi")), halve)["lo"]
+    cuts = math.ceil(wanted / parts)
+
+    def number(i: Column) -> Column:
+        start, end = F.get(edges, i), F.get(edges, i + 1)
+        share = F.floor((doc_id - start - 1).cast("double") * cuts / (end - start).cast("double")).cast("long")
+        return i.cast("long") * cuts + F.least(share, F.lit(cuts - 1).cast("long"))
+
+    return F.when(doc_id.isNull(), F.lit(0).cast("long")).otherwise(_let(at, number))
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
     """doc_id, text, bucket and the next document's text, by ascending doc_id, the first one after the last.
 
@@ -72,14 +100,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
     last row is the first of the next bucket, from a table of one row a bucket.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = d.count()
-    parts = max(1, min(BUCKETS, math.ceil(n / BUCKET_ROWS)))
-    bounds = d.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0] if parts > 1 else None
-    bucket = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))))
-    d = d.withColumn("bucket", bucket)
+    d = d.withColumn("bucket", _bucket(d))
     place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     least = d.select("bucket", place.alias("place")).groupBy("bucket").agg(F.min("place").alias("place"))  # BUCKETS rows at most
     firsts = d.withColumn("place", place).join(F.broadcast(least), ["bucket", "place"]).groupBy("bucket").agg(F.min("text").alias("f"))
