@@ -30,21 +30,22 @@ def is_noise(line: Column) -> Column:
     return collapsed_is_noise(collapse(line))
 
 
-def collapsed_is_noise(x: Column) -> Column:
-    """The predicate for a line whose white space is collapsed. Patterns are anchored, so that each takes linear time."""
-    low = F.lower(x)
+def collapsed_is_noise(x: Column, low: Column | None = None) -> Column:
+    """The predicate for a line whose white space is collapsed, and its lower case where that is at hand.
+
+    Cheap tests stand before patterns, and patterns are anchored, so that a line takes linear time.
+    """
+    if low is None:
+        return F.transform(F.array(F.lower(x)), lambda y: collapsed_is_noise(x, y)).getItem(0)
     terms = sum((low.contains(t).cast("int") for t in TERMS), F.lit(0))
     alone = F.lower(F.regexp_extract(x, r"^([^\s()]+)\([A-Za-z]\)$", 1))
-    titled = x.rlike(rf"(?i)^.+?\.(?:{EXTENSIONS})") & F.array_contains(F.array(*[low.contains(a) for a in APPS]), True)
-    return (
-        (F.length(x) <= 1)
-        | low.isin(LABELS)
-        | (F.regexp_count(x, F.lit(ACCESS_KEY)) >= 2)
-        | alone.isin(LABELS)
-        | (terms >= 2)
-        | titled
-        | x.rlike("^(?:" + "|".join(SHAPES) + ")$")
-    )
+    keys = x.contains("(") & ((F.regexp_count(x, F.lit(ACCESS_KEY)) >= 2) | alone.isin(LABELS))
+    app = low.contains(APPS[0])
+    for name in APPS[1:]:
+        app = app | low.contains(name)
+    titled = app & x.contains(".") & x.rlike(rf"(?i)^.+?\.(?:{EXTENSIONS})")
+    shape = x.rlike("^(?:" + "|".join(SHAPES) + ")$")
+    return (F.length(x) <= 1) | low.isin(LABELS) | keys | (terms >= 2) | titled | shape
 
 
 def noise_sql(x: str) -> str:

@@ -85,7 +85,7 @@ def cleaned(pages: DataFrame) -> DataFrame:
     often = document_frequency(rows).join(n, "group").filter(F.col("pages") >= threshold(F.col("n"))).select("group", "key", F.lit(True).alias("often"))
     center = (F.col("box.top") + F.col("box.bottom")) / 2 / F.col("height")
     kept = rows.join(often, ["group", "key"], "left")
-    kept = kept.filter(~collapsed_is_noise(F.col("line")) & ~F.coalesce(F.col("often") & (F.col("height") > 0) & outer(center), F.lit(False)))
+    kept = kept.filter(~collapsed_is_noise(F.col("line"), F.col("key")) & ~F.coalesce(F.col("often") & (F.col("height") > 0) & outer(center), F.lit(False)))
     first = kept.groupBy("group", "page", "key").agg(F.min(F.struct("pos", "line")).alias("at"))
     texts = first.groupBy("group", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda a: a["line"]), "\n").alias("text"))
     return pages.select("group", "page").join(texts, ["group", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
@@ -98,7 +98,7 @@ def important(text: Column, limit: int = 8) -> Column:
 
 
 def title_candidates(rows: DataFrame) -> DataFrame:
-    """rows with file_title, from a line that shows a file's name, and plain, a line that may serve as title."""
+    """rows (line, key) with file_title, from a line that shows a file's name, and plain, a line that may serve as title."""
     line = F.col("line")
     found = F.regexp_extract(line, rf"(?i)^(.+?\.(?:{EXTENSIONS}))", 1)
     trailing = F.substring(line, F.length(found) + 1, F.length(line))
@@ -106,7 +106,7 @@ def title_candidates(rows: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace(name, r"(?<=[ァ-ヶ])-+(?=[ァ-ヶ])", "ー"), rf"(?i)\.(?:{EXTENSIONS})$", "")
     name = F.trim(F.element_at(F.split(name, r"\s*(?:>|\\|/)\s*"), -1))
     shown = (found != "") & ~trailing.rlike("^[ぁ-んァ-ヶー一-龠]") & (name != "")
-    plain = F.length(line).between(5, 100) & ~collapsed_is_noise(line)
+    plain = F.length(line).between(5, 100) & ~collapsed_is_noise(line, F.col("key"))
     return rows.withColumns({"file_title": F.when(shown, name), "plain": F.when(plain, line)})
 
 

@@ -45,7 +45,7 @@ def line_first_occurrence(spark, sf_dir):
 
 @query(f'WITH {LINES_SQL} SELECT page, pos, {noise_sql("line")} AS noise FROM l')
 def noise_classifier(spark, sf_dir):
-    return _lines(spark, sf_dir).select("page", "pos", collapsed_is_noise(F.col("line")).alias("noise"))
+    return _lines(spark, sf_dir).select("page", "pos", collapsed_is_noise(F.col("line"), F.col("key")).alias("noise"))
 
 
 @query(
