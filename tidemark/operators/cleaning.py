@@ -51,7 +51,8 @@ def touched(b: Column, redactions: Column, width: Column, height: Column) -> Col
 
     def hit(r: Column) -> Column:
         x, y = F.least(F.greatest(r["x"], F.lit(0.0)), F.lit(1.0)), F.least(F.greatest(r["y"], F.lit(0.0)), F.lit(1.0))
-        return (b["left"] < (x + r["width"]) * width) & (b["right"] > x * width) & (b["top"] < (y + r["height"]) * height) & (b["bottom"] > y * height)
+        w, h = F.least(F.greatest(r["width"], F.lit(0.0)), 1 - x), F.least(F.greatest(r["height"], F.lit(0.0)), 1 - y)
+        return (b["left"] < (x + w) * width) & (b["right"] > x * width) & (b["top"] < (y + h) * height) & (b["bottom"] > y * height)
 
     return F.when(F.size(redactions) == 0, False).when(b.isNull(), True).otherwise(F.exists(redactions, hit))
 
