@@ -13,12 +13,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_literal(v: Column, query: list[float]) -> Column:
-    """Dot product with a bound vector as one flat expression, which stays in generated code."""
-    total = F.lit(0.0)
-    for i, q in enumerate(query):
-        total = total + F.get(v, F.lit(i)).cast("double") * F.lit(float(q))
-    return total
+#: Dimensions up to which a dot product is one flat sum in generated code; beyond, its method would be too large.
+FLAT = 128
+
+
+def _sum_of(name: str, n: int, other) -> Column:
+    """Sum over i of name[i] times other(i), as one parsed expression."""
+    if n <= FLAT:
+        return F.expr(" + ".join(f"CAST(get({name}, {i}) AS DOUBLE) * {other(i)}" for i in range(n)) or "0D")
+    return F.expr(f"aggregate(zip_with({name}, array({', '.join(map(other, range(n)))}), (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)")
+
+
+def dot_literal(name: str, query: list[float]) -> Column:
+    """Dot product of a column with a bound vector."""
+    return _sum_of(name, len(query), lambda i: f"CAST({float(query[i])!r} AS DOUBLE)")
+
+
+def norm_of(name: str, n: int) -> Column:
+    """Norm of a column of n dimensions."""
+    return F.sqrt(_sum_of(name, n, lambda i: f"CAST(get({name}, {i}) AS DOUBLE)"))
 
 
 def norm(v: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import escape_like, excerpt, fold_ascii, occurrences
-from ..functions.vectors import dot_literal
+from ..functions.vectors import dot_literal, norm_of
 
 BRANCH, FUSION = 200, 60
 K1, B = 1.2, 0.75
@@ -61,8 +61,11 @@ def like(ev: DataFrame, needle: str, start=None, end=None, limit: int = BRANCH)
 
 
 def any_of(text: Column, tokens: list[str]) -> Column:
+    """Holds one of the tokens in any case; one pattern, so that the text is folded once."""
+    if not tokens:
+        return F.lit(False)
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in tokens])
+    return low.contains(tokens[0].lower()) if len(tokens) == 1 else low.rlike("|".join(rf"\Q{t.lower()}\E" for t in tokens))
 
 
 def match_any(ev: DataFrame, tokens: list[str]) -> DataFrame:
@@ -113,9 +116,8 @@ def vector_top(ev: DataFrame, query: list[float], start=None, end=None, limit: i
 
     Time filters come before the limit, scores that aren't finite are dropped after it.
     """
-    e = F.col("embedding")
-    norm = F.sqrt(reduce(lambda a, b: a + b, [F.get(e, F.lit(i)).cast("double") * F.get(e, F.lit(i)).cast("double") for i in range(len(query))]))
-    rows = overlapping(ev, start, end).filter(F.size("embedding") == len(query)).select("id", dot_literal(e, query).alias("dot"), norm.alias("norm"))
+    norm = norm_of("embedding", len(query))
+    rows = overlapping(ev, start, end).filter(F.size("embedding") == len(query)).select("id", dot_literal("embedding", query).alias("dot"), norm.alias("norm"))
     rows = rows.filter(F.col("norm") > 0).select("id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     top = rows.orderBy(F.desc("score"), "id").limit(limit)
     top = top.filter(~F.isnan("score") & (F.abs("score") < float("inf")))
