@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
@@ -35,9 +38,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
+    if _scratch:
+        _scratch[-1].append(back)
     return back
 
 
+def settle(label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of build() as a table; the tables that it wrote on the way are deleted."""
+    _scratch.append([])
+    try:
+        out = materialise(build(), label)
+    finally:
+        tables = _scratch.pop()
+    for t in tables:
+        if t is not out:
+            discard(t)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and that no later plan reads."""
     path = getattr(df, "_tidemark_path", None)
@@ -50,13 +70,7 @@ def discard(df: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows that go to a Python worker at once: texts are long, workers have little memory. Ships this package too."""
     spark.conf.set(ARROW_ROWS, str(rows))
-    context = spark.sparkContext
-    if not getattr(context, "_tidemark_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        to = tempfile.mkdtemp(prefix="tidemark-code-")  # Spark's file server on the driver sends it to the executors
-        atexit.register(shutil.rmtree, to, ignore_errors=True)
-        context.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
-        context._tidemark_shipped = True
+    ship(spark)
 
 
 def crc_mod(column, n: int):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, settle
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,11 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node that has a link, from links (a, b) of longs; component is the least node."""
+    """(node, component) of every node that has a link, from links (a, b) of longs, as a table; component is the least node."""
+    return settle("components", lambda: _components(links, rounds))
+
+
+def _components(links: DataFrame, rounds: int) -> DataFrame:
     now = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now, sign = materialise(now.distinct(), "links"), None
     for _ in range(rounds):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, settle, small_batches
 from .components import components
 from .textops import mix, slices, utf8, whole_groups, word_hashes
 
@@ -113,15 +113,20 @@ ROW = "node long, id long, n long, component long, sig binary"
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * COORDINATES * len(column) else np.uint8).reshape(-1, COORDINATES)
 
 
 def _branch(rows: DataFrame) -> DataFrame:
+    """The children of all rows. Roots branch by 16 bits of a value; rows go on with 8, which is enough below."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                for child in _children(batch.column(0).to_numpy().view(np.uint64), _sigs(batch.column(4))):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *batch.columns[1:]], batch.schema.names)
+                sig = _sigs(batch.column(4))
+                lower = pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary())
+                for child in _children(batch.column(0).to_numpy().view(np.uint64), sig):
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *batch.columns[1:4], lower], batch.schema.names)
 
     return rows.mapInArrow(run, ROW)
 
@@ -348,19 +353,23 @@ def _joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+    """doc_id, n_shingles, component_id, kept of each row, as a table."""
+    return settle("minhash-result", lambda: _near_groups(docs, k, percent))
+
+
+def _near_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = materialise(signatures(docs, k), "minhash-rows")
     grouped = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("doc_id").alias("least"))
     classes = materialise(grouped.withColumn("component", F.col("id")), "minhash-classes")
     pairs = materialise(candidates(classes, again=False), "minhash-pairs")
     links = materialise(_confirmed(pairs, classes, docs, k, percent), "minhash-links")
-    first = materialise(components(links), "minhash-components")
+    first = components(links)
     placed = classes.drop("component").join(first, F.col("id") == F.col("node"), "left")
     placed = materialise(placed.select("id", "n", "sig", "least", F.coalesce("component", "id").alias("component")), "minhash-classes")
     more = materialise(candidates(placed, again=True), "minhash-groups")
     if not more.isEmpty():
         links = links.unionByName(_joined(more, classes, docs, k, percent))
-        first = materialise(components(links), "minhash-components")
+        first = components(links)
     groups = classes.select("id", "least").join(first, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     lowest = groups.groupBy("component").agg(F.min("least").alias("lowest"))
     known = groups.join(lowest, "component").select("id", "lowest")
@@ -377,7 +386,11 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
     """
     behind = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 2) + F.lit(1 << 62)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind))
-    kept = materialise(near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent).filter("kept").select(F.col("doc_id").alias("__key")), "minhash-kept")
-    repeated = not kept.groupBy("__key").count().filter(F.col("count") > 1).isEmpty()
-    out = keyed.join(kept.distinct() if repeated else kept, "__key", "left_semi")
+    near = near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent)
+    keys = near.groupBy(F.col("doc_id").alias("__key")).agg(F.count_if("kept").alias("n"))
+    gone = keys.filter("n = 0").select("__key")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = keyed.join(gone, "__key", "left_anti")
+    repeated = not keys.filter("n > 1").isEmpty()
     return (out.dropDuplicates(["__key"]) if repeated else out).select(*docs.columns)

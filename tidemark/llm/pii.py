@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, settle
 
 WINDOW, THRESHOLD, SUPPORT = 80, 0.9, 3
 #: Candidate terms up to this many are sent to all executors (some MB), more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: So with documents that hold disclosing terms, whose other texts then stay in place.
+BROADCAST_DOCS = 100_000
 # The base patterns. Quantifiers are possessive, and a match starts a run or follows a match, so that
 # the same matches take linear time and no stack.
 _WORD = "[A-Za-z0-9._%+-]"
@@ -109,7 +111,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) where the term discloses the entity, written as a table."""
+    """(entity, term) where the term discloses the entity, as a table."""
+    return settle("pii-disclosing", lambda: _disclosing_terms(docs, window, threshold, support))
+
+
+def _disclosing_terms(docs: DataFrame, window: int, threshold: float, support: int) -> DataFrame:
     d = base_spans(_texts(docs.select("text")).withColumn("row", F.monotonically_increasing_id()).select("row", "__pii_text"))
     hits = d.filter(F.size("__pii_base") > 0).select("row", "__pii_text", F.explode("__pii_base").alias("s"))
     left = F.substring("__pii_text", F.greatest(F.col("s.start") - window + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(window)))
@@ -134,7 +140,7 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, threshold: float = T
     n = every.count()
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     pmi = F.log2(F.col("n_tc") * float(n) / (F.col("n_t") * F.col("n_c")))
-    return materialise(pairs.join(n_t, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term"), "pii-disclosing")
+    return pairs.join(n_t, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
 
 
 def _terms_of_documents(d: DataFrame, disclosing: DataFrame) -> DataFrame:
@@ -149,7 +155,10 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """docs with __pii_text and __pii_base, and (__pii_doc, __pii_pattern) of documents with disclosing terms, if any."""
     d = base_spans(_texts(docs))
     disclosing = disclosing_terms(docs)
-    return d, None if disclosing.isEmpty() else _terms_of_documents(d, disclosing)
+    if disclosing.isEmpty():
+        return d, None
+    patterns = materialise(_terms_of_documents(d, disclosing), "pii-patterns")
+    return d, F.broadcast(patterns) if patterns.count() <= BROADCAST_DOCS else patterns
 
 
 def _term_spans(pattern: str = "__pii_pattern") -> Column:

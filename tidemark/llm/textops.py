@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; the arrays for them take about 60 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UP, _DOWN = [], []  # powers of _BASE and of its inverse modulo 2^64
 
