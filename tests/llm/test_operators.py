@@ -47,6 +47,21 @@ def test_every_operator_is_registered():
     assert numbers == list(range(1, 11))
 
 
+def test_settled_results_leave_no_scratch_tables(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "tidemark"
+    before = set(folder.iterdir()) if folder.exists() else set()
+
+    def build():
+        a = common.settle("inner", lambda: common.materialise(spark.range(10), "one").filter("id > 2"))
+        return common.materialise(a, "two").filter("id > 5")
+
+    out = common.settle("outer", build)
+    assert out.count() == 4
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["outer"]
+
+
 # 1 ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
