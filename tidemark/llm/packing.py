@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import string
 import zlib
 from array import array
 from itertools import chain
@@ -24,16 +25,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialise, small_batches
+from .common import materialise, settle, small_batches
 
 CAPACITY, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces in a partition of best-fit decreasing; about 10 MB.
 PART_ROWS = 50_000
-#: Words whose ids a worker remembers; about 80 MB.
+#: Words whose ids a worker remembers; about 80 MB; each task begins anew.
 MEMO_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "part long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, released boolean, gap long"
 
+MARKS = string.punctuation.encode()
+
 _tokenizers: dict = {}
 
 
@@ -49,23 +52,33 @@ class Words:
         self.memo: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. A full stop or comma after an ASCII letter is always a token of its own, so stems are shared."""
+        """Ids of new words. A run of ASCII marks after a letter is always a unit of its own, so stems and marks are shared; special tokens' strings stay whole."""
         memo = self.memo
         if len(memo) + len(words) > MEMO_WORDS:
             memo.clear()
-        ended = [w for w in words if w[-1:] in b".," and w[-2:-1].isalpha()]
-        stems = list({*(w[:-1] for w in ended), *words.difference(ended), b".", b","}.difference(memo))
-        plain, rest = [], []
-        for w in stems:
-            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
+        plain = {w for w in words if w.isalpha()}
+        ended, other = [], set()
+        for w in words - plain:
+            stem = w.rstrip(MARKS)
+            if 0 < len(stem) < len(w) and b"<|" not in w and (stem[-1:].isalpha() or (stem[-1] > 127 and stem.decode()[-1].isalpha())):
+                marks = w[len(stem) :]
+                ended.append((w, stem, marks))
+                (plain if stem.isalpha() else other).add(stem)
+                other.add(marks)
+            else:
+                other.add(w)
+        rest = []
+        for w in other.difference(memo):
+            (plain.add if w.decode().isalpha() else rest.append)(w)
+        plain = list(plain.difference(memo))
         for at in range(0, len(plain), 2_000):
             rest += self._learn_letters(plain[at : at + 2_000])
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
+        for at in range(0, len(rest), 2_000):
+            some = rest[at : at + 2_000]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
                 memo[w] = array("I", e.ids).tobytes()
-        for w in ended:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        for w, stem, marks in ended:
+            memo[w] = memo[stem] + memo[marks]
 
     def _learn_letters(self, words: list[bytes]) -> list[bytes]:
         """Words of letters are one unit of the tokenizer each, so their ids end at the ids with a word end. Those not learned."""
@@ -120,6 +133,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
                     for column, value in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        words.memo.clear()  # a worker outlives its tasks
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -191,7 +205,11 @@ def _pack_round(pieces: DataFrame, parts: int, round_: int, capacity: int, final
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = 8) -> DataFrame:
-    """Sequence and offset of every piece. Each round's table is written, so a lost executor can't deal pieces twice."""
+    """Sequence and offset of every piece, as a table. Each round's is written, so a lost executor can't deal pieces twice."""
+    return settle("pack-result", lambda: _pack(pieces, capacity, part_rows, rounds))
+
+
+def _pack(pieces: DataFrame, capacity: int, part_rows: int, rounds: int) -> DataFrame:
     pool = materialise(pieces, "pack-pieces")
     full = pool.filter(F.col("length") == capacity).withColumns({"bin": F.xxhash64("doc_id", "piece"), "offset": F.lit(0).cast("long")})
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
