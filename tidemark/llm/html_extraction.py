@@ -22,202 +22,209 @@ from .common import small_batches
 # HTML element names, and words in class, id or role that mark what isn't the article.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "select", "xmp", "noembed", "noframes"}
 BLOCK = set(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
-    "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "label", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
+    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle adsense banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
     "masthead topbar footer comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login social share sharing related recommended widget form search copyright pager pagination toolbar "
     "complementary contentinfo dialog skip".split()
 )
 COMMENT_MARKS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "sponsored", "advert", "advertisement", "related"}
 
-#: words, share of link words; the same of the block before and after; place: 1 in an article, 0 on a page without one,
-#: -1 outside of the page's article; marked: 1 in what isn't the article by name; heading; label: 1 for the main text.
+#: words, share of link words; the same of the block before and after; zone: 1 in an article, 0 on a page without one,
+#: -1 outside of the page's article, -2 in what isn't the article by name; heading; label: 1 for the main text.
 TABLE = """
- 30 0.10   60 1.00    8 0.00   1 0 0  1
-130 0.50   90 0.00    3 0.00   1 0 0  1
-  1 0.20   16 0.05  130 0.50   1 0 0  1
- 22 0.00   30 0.00    3 0.05   1 0 0  1
- 12 0.10    2 0.50  130 0.00   1 0 0  1
- 90 0.00    2 1.00   30 0.90   1 0 0  1
-  2 0.00    0 0.00  130 0.00   1 0 0  1
-  3 0.00    2 0.00  130 0.10   1 0 0  1
-  8 0.00   22 0.05   45 0.00   1 0 0  1
- 60 0.00   12 0.00    5 0.20   1 0 0  1
- 12 0.00    2 0.00    5 0.20   1 0 0  1
-  5 0.80   30 1.00    0 0.00   1 0 0  0
- 45 0.20    1 0.20    5 0.10   1 0 0  1
- 16 0.20    2 0.90   16 0.00   1 0 0  1
-  1 0.10    0 0.00   60 0.20   1 0 0  1
-130 0.30    0 0.00   22 0.50   1 0 0  1
-  8 0.30   30 0.00  130 0.90   1 0 0  1
-  1 0.00   30 0.00    3 0.05   1 0 0  1
-130 0.50    8 0.20   22 1.00   1 0 0  1
-  5 0.50    1 0.20   30 0.10   1 0 0  1
-  1 0.30    1 0.20    3 1.00   1 0 0  1
- 30 0.20    2 0.10    8 1.00   1 0 0  1
-  1 0.10   45 0.10    8 0.00   1 0 0  1
- 90 0.00   45 0.10    2 0.90   1 0 0  1
-  2 0.00    1 1.00   30 0.50   1 0 0  1
-  1 0.00   60 0.20   30 0.10   1 0 0  1
- 16 1.00   12 0.00    2 0.00   1 0 0  0
- 90 0.50    8 0.05  130 0.00   1 0 0  1
- 60 0.80    2 0.50   45 0.00   1 0 0  0
-  2 0.30    8 0.00    2 0.50   1 0 0  1
-  5 0.00   16 0.00   30 1.00   1 0 0  1
- 16 0.50   60 0.20   60 0.90   1 0 0  1
-  5 0.10   16 0.00   12 0.00   1 0 0  1
- 12 0.60    2 0.90   45 0.20   1 0 0  0
-  2 0.00   16 1.00    5 1.00   1 0 0  1
-130 0.60    8 0.20    1 1.00   1 0 0  0
- 45 0.00   90 0.20    5 1.00   1 0 0  1
- 60 1.00    5 0.90  130 0.10   1 0 0  0
- 90 0.10    8 0.00   45 1.00   1 0 0  1
-130 0.00   16 0.10   22 0.20   1 0 0  1
- 45 0.10   16 1.00    5 0.20   1 0 1  1
-  8 0.10   45 0.50    8 0.20   1 0 1  1
-130 0.00  130 0.90  130 0.20   1 0 1  1
-  8 0.60    2 0.00   22 0.05   1 0 1  1
-130 0.20  130 0.10   16 0.00   1 0 1  1
- 60 1.00   60 0.00   12 1.00   1 0 1  1
- 90 0.80   22 0.50   45 0.10   1 0 1  1
- 30 0.60   90 0.10  130 0.00   1 0 1  1
-  3 0.00   30 1.00   16 0.00   1 0 1  1
-  3 1.00    2 0.00   45 0.90   1 0 1  1
-  3 0.00    0 0.00    2 0.00   1 1 0  0
-  8 0.00   16 1.00    3 0.00   1 1 0  0
- 12 0.50    8 1.00   12 0.00   1 1 0  0
- 30 0.00    3 0.20   60 0.00   1 1 0  0
-  8 0.30    5 0.50  130 0.00   1 1 0  0
- 60 0.60    8 1.00    0 0.00   1 1 0  0
- 30 0.10    1 1.00    5 1.00   1 1 0  0
-  8 0.80    5 0.00    8 0.50   1 1 0  0
- 12 0.80   45 0.20   22 0.90   1 1 0  0
-  2 0.00   30 1.00   12 0.90   1 1 0  0
-  3 0.00   30 0.20    1 0.00   1 1 1  0
- 12 0.00    8 1.00   30 1.00   1 1 1  0
-  2 0.20   45 0.50   30 0.50   1 1 1  0
- 12 0.00   16 0.90    5 0.50   1 1 1  0
- 12 0.00   30 0.10   30 0.10  -1 0 0  0
- 16 0.10   12 0.20    0 0.00  -1 0 0  0
-  5 0.50    5 0.90    2 0.00  -1 0 0  0
-  1 1.00   30 0.05   16 0.10  -1 0 0  0
-  1 0.00  130 0.00   12 0.90  -1 0 0  0
- 22 0.60    5 0.90    3 0.00  -1 0 0  0
-  3 0.50    5 0.00  130 0.10  -1 0 0  0
-  5 0.50   30 1.00   16 1.00  -1 0 0  0
- 60 0.00    0 0.00   90 0.00  -1 0 0  0
-  5 0.10   22 0.20   60 1.00  -1 0 0  0
-  5 0.60    0 0.00   16 0.20  -1 0 0  0
-  8 1.00   60 1.00  130 0.00  -1 0 0  0
-  1 0.00    5 0.90   22 0.00  -1 0 0  0
- 45 0.60    3 0.50    0 0.00  -1 0 0  0
- 90 0.30   30 0.90   30 0.50  -1 0 1  0
- 16 0.30   45 0.05  130 0.10  -1 0 1  0
- 16 0.00    5 0.00  130 0.50  -1 0 1  0
- 30 0.10   45 0.90   90 0.10  -1 0 1  0
-  2 0.00   16 1.00   60 0.90  -1 0 1  0
-  8 0.60    2 1.00   12 1.00  -1 1 0  0
- 90 0.00    1 0.05   60 0.10  -1 1 0  0
-130 0.00   90 0.00    1 0.20  -1 1 0  0
- 60 0.30    1 0.90   12 0.00  -1 1 0  0
-  1 0.00    3 0.00   30 0.00  -1 1 0  0
-  5 0.50    2 1.00    2 0.00  -1 1 0  0
- 12 0.00    1 0.05   30 0.00  -1 1 0  0
- 22 0.00   45 0.00   12 0.10  -1 1 0  0
-  1 0.80   30 0.50    1 1.00   0 0 0  0
-  2 0.00   12 0.20    1 1.00   0 0 0  0
- 16 0.50    8 0.20   45 0.00   0 0 0  0
-  2 0.10    2 1.00   30 0.10   0 0 0  0
- 22 0.60   30 0.10    3 0.00   0 0 0  0
- 22 0.00    5 0.10  130 1.00   0 0 0  1
-  2 0.00  130 0.90    8 0.50   0 0 0  0
-  2 0.00   60 0.20    0 0.00   0 0 0  0
-  1 0.80   45 0.00    0 0.00   0 0 0  0
-130 0.00   22 0.90   30 0.05   0 0 0  1
- 12 0.50   16 0.00    8 1.00   0 0 0  0
-  1 0.60   60 0.00   12 0.00   0 0 0  0
- 12 1.00   90 0.00    3 0.00   0 0 0  0
- 45 0.50  130 0.00    3 1.00   0 0 0  0
- 12 0.20  130 0.10    3 0.20   0 0 0  1
- 30 0.20   90 0.50   12 0.00   0 0 0  1
- 60 0.20   45 0.50    5 0.20   0 0 0  1
- 22 0.00   30 0.05   30 0.00   0 0 0  1
- 12 0.00    1 0.00    0 0.00   0 0 0  1
-  2 0.00    3 0.90    0 0.00   0 0 0  0
- 16 1.00   90 0.00    8 0.50   0 0 0  0
- 16 0.10   30 0.20   12 0.90   0 0 0  1
- 16 0.00    3 0.00    2 0.00   0 0 0  1
-  8 0.30  130 0.00   16 1.00   0 0 0  0
-  5 0.00    5 0.00  130 0.10   0 0 0  0
- 45 0.00    0 0.00   16 0.00   0 0 0  1
-  8 0.20    8 0.00    0 0.00   0 0 0  0
- 45 0.50   16 0.00  130 0.00   0 0 0  0
- 90 1.00    8 0.90    5 0.05   0 0 0  0
- 60 0.00    0 0.00    3 0.00   0 0 0  1
- 30 0.00   45 1.00    1 0.50   0 0 0  1
- 60 0.20   45 0.00    5 0.90   0 0 0  1
-  8 0.10    1 0.90   60 0.00   0 0 0  0
- 90 0.00    2 0.05   45 0.00   0 0 0  1
- 45 0.80   12 0.10   60 0.00   0 0 0  0
- 16 0.00   16 0.50   90 0.00   0 0 0  1
-  1 0.00   22 1.00  130 1.00   0 0 0  0
-  8 0.00   60 0.05    1 0.90   0 0 0  0
-  1 0.50    0 0.00   45 0.05   0 0 0  0
- 45 0.00   16 0.00   12 0.00   0 0 0  1
-  5 0.30   16 0.00    5 0.00   0 0 0  0
-  3 0.00   60 0.50   22 0.05   0 0 0  0
- 22 0.00    1 0.00    8 0.00   0 0 0  1
- 22 0.00   30 0.05    1 1.00   0 0 0  1
-  1 0.50   22 0.90    8 0.50   0 0 0  0
- 30 0.30   22 0.00   45 0.00   0 0 0  1
- 90 0.10   60 0.05   16 1.00   0 0 0  1
-  1 0.00    5 0.00   16 0.10   0 0 0  0
-130 0.30    8 0.00    2 1.00   0 0 0  1
-  1 0.50    3 0.00   60 0.50   0 0 0  0
- 30 1.00    3 0.00    5 0.90   0 0 0  0
- 60 0.00    0 0.00   60 0.05   0 0 0  1
- 90 0.10    8 0.00    1 0.50   0 0 0  1
- 90 0.20   12 1.00   90 0.00   0 0 0  1
-  5 1.00   90 1.00    2 0.00   0 0 0  0
- 16 0.00  130 0.00   60 0.00   0 0 0  1
- 60 0.30    5 0.50    1 1.00   0 0 0  1
-  2 0.20    1 0.00    5 0.00   0 0 0  0
-  5 0.50   45 0.10    8 0.00   0 0 0  0
-  1 0.60   90 1.00   60 0.00   0 0 0  0
-  1 0.00    0 0.00    2 0.20   0 0 1  0
- 12 0.10   30 0.05    0 0.00   0 0 1  0
- 22 0.30    2 0.05    8 0.20   0 0 1  1
-  8 0.00    2 1.00   30 0.00   0 0 1  1
- 60 0.00    5 1.00   22 0.00   0 0 1  1
- 45 0.00   16 0.50   90 0.50   0 0 1  0
-  1 0.20    8 0.05   16 0.90   0 0 1  0
- 30 0.30    2 0.00   16 0.00   0 0 1  1
- 22 0.50   16 0.00   30 0.00   0 0 1  0
-  2 0.30   45 0.05    0 0.00   0 0 1  0
-  1 0.00   30 0.90    3 0.20   0 0 1  0
- 12 0.50    3 0.10    3 0.05   0 0 1  0
-  5 0.60   22 0.05    8 0.20   0 0 1  0
-  8 0.00  130 0.00   45 1.00   0 0 1  0
- 16 0.30    8 0.00    2 0.05   0 1 0  0
- 16 0.30    0 0.00    1 0.00   0 1 0  0
- 12 0.00   90 0.10   60 0.05   0 1 0  0
- 90 0.20   16 0.90   45 1.00   0 1 0  0
- 30 0.00   90 0.50    3 0.00   0 1 0  0
-  1 0.60   30 1.00   30 0.00   0 1 0  0
-130 0.30    0 0.00    8 0.00   0 1 0  0
- 30 0.10   22 1.00   12 0.90   0 1 0  0
- 22 0.30   16 1.00   90 1.00   0 1 0  0
- 45 0.00   22 0.50    2 0.20   0 1 0  0
- 30 0.00   45 1.00   90 0.05   0 1 1  0
-  5 0.10    1 0.00    0 0.00   0 1 1  0
- 90 0.20   30 0.50   30 0.10   0 1 1  0
-  1 0.10   60 0.00    3 0.00   0 1 1  0
+ 16 0.60  130 0.90   90 0.90   1 0  0
+ 22 0.80    3 1.00    2 0.90   1 0  0
+ 45 0.80   90 0.00    2 0.90   1 0  0
+  5 0.00    1 0.00   22 1.00   1 0  1
+ 12 0.50   45 1.00   60 0.00   1 0  1
+ 30 0.00  130 0.00   22 0.00   1 0  1
+  1 0.00    3 0.00   30 0.90   1 0  1
+  8 0.50   30 0.05  130 1.00   1 0  1
+  3 1.00    5 0.00   16 0.00   1 0  0
+ 16 1.00    5 1.00   12 0.00   1 0  0
+ 60 0.10    8 0.05   90 1.00   1 0  1
+  5 0.00    1 0.00   30 0.50   1 0  1
+  1 0.10   12 0.00    1 0.00   1 0  1
+  3 0.00    0 0.00   16 0.50   1 0  1
+ 60 0.30   12 1.00    1 0.05   1 0  1
+ 90 1.00    5 0.00    8 0.10   1 0  0
+  8 0.00   12 0.00   90 0.00   1 0  1
+  3 0.00    0 0.00    0 0.00   1 0  1
+ 16 0.50    2 1.00   45 0.05   1 0  1
+ 16 0.60    3 0.00   60 0.50   1 0  0
+ 45 0.30    1 0.50   12 0.05   1 0  1
+  1 0.10  130 1.00   90 0.10   1 0  1
+  1 0.00    2 1.00   12 1.00   1 0  1
+  1 0.00    2 0.90    3 0.10   1 0  1
+  1 0.80    8 0.10  130 0.50   1 1  1
+  1 0.00    1 1.00    3 0.05   1 1  1
+  1 0.80    8 1.00    8 0.90   1 1  1
+  2 0.80   16 1.00  130 0.00   1 1  1
+130 0.30    2 0.00   45 0.10   1 1  1
+  3 0.80    3 0.05   60 0.00   1 1  1
+ 60 1.00   22 0.50    3 0.90   1 1  1
+ 30 0.00   12 0.00    0 0.00   1 1  1
+  1 0.00   22 0.05    5 0.50   1 1  1
+  5 0.30  130 0.90   30 0.10   1 1  1
+ 22 0.00   60 0.00    1 0.05  -2 0  0
+ 16 0.60   45 1.00  130 1.00  -2 0  0
+  1 0.10    3 0.00    3 0.00  -2 0  0
+  5 0.30   16 0.00    3 0.00  -2 0  0
+  2 0.10    8 1.00   22 0.00  -2 0  0
+  1 0.20    2 0.20   16 1.00  -2 0  0
+ 30 0.00   30 0.00    0 0.00  -2 0  0
+ 16 0.20   60 0.00    5 0.00  -2 0  0
+ 30 1.00    1 0.00   16 0.10  -2 0  0
+  8 0.00    1 0.90    1 1.00  -2 0  0
+  8 0.00   60 0.00   60 0.20  -2 0  0
+  8 0.00   45 0.00   16 0.50  -2 0  0
+ 90 0.00  130 1.00   16 0.00  -2 1  0
+ 30 1.00   12 1.00   12 0.00  -2 1  0
+ 30 0.00    1 0.00    1 0.10  -2 1  0
+ 12 0.20   12 1.00   60 0.90  -2 1  0
+ 16 0.50  130 0.00   22 1.00  -1 0  0
+ 90 0.60    0 0.00    5 1.00  -1 0  0
+  1 0.50    0 0.00    3 0.00  -1 0  0
+ 16 0.80   45 0.10   16 0.00  -1 0  0
+  8 0.10    2 1.00   45 0.05  -1 0  0
+ 22 0.00   90 0.90    8 0.90  -1 0  0
+  3 0.20   12 0.10   45 0.05  -1 0  0
+ 45 0.30   90 0.05   90 0.05  -1 0  0
+ 12 0.00   30 0.05    8 0.00  -1 0  0
+  2 0.50    8 0.00  130 0.00  -1 0  0
+  5 0.00    1 0.90   16 0.10  -1 0  0
+  3 0.30   12 1.00   45 0.90  -1 0  0
+ 45 0.20   60 1.00  130 0.90  -1 0  0
+  8 0.00  130 0.10    0 0.00  -1 0  0
+130 0.80    0 0.00   45 0.10  -1 1  0
+ 30 0.20    5 1.00   45 0.00  -1 1  0
+ 45 0.00   12 0.05   16 0.00  -1 1  0
+ 90 0.10    3 0.00   90 0.00  -1 1  0
+ 45 0.00   16 1.00    1 0.20   0 0  1
+  1 1.00    3 0.90    3 0.10   0 0  0
+  2 0.00   90 1.00   16 0.00   0 0  0
+  2 0.00    5 0.20   90 1.00   0 0  0
+ 60 0.60   22 0.00   30 0.50   0 0  0
+130 0.00    1 0.50   12 0.00   0 0  1
+ 16 0.50    3 0.00   45 0.50   0 0  0
+ 22 0.80   45 0.20   22 0.90   0 0  0
+  8 1.00    3 0.00    1 0.05   0 0  0
+  3 0.30    1 1.00    5 0.20   0 0  0
+  5 0.00    8 0.00   22 0.00   0 0  0
+ 16 0.20   22 0.10   12 0.90   0 0  1
+  1 0.00   90 0.00  130 0.50   0 0  0
+ 90 0.00    2 0.20   22 0.00   0 0  1
+ 16 0.00   22 1.00   60 0.90   0 0  1
+ 16 0.80   60 0.05    1 0.90   0 0  0
+ 22 0.60    5 1.00  130 0.00   0 0  0
+ 22 0.60  130 0.10   22 0.10   0 0  0
+ 45 0.30  130 1.00  130 0.05   0 0  1
+  5 0.00   22 0.10   22 1.00   0 0  0
+ 16 0.00   12 0.00   22 1.00   0 0  1
+  1 0.80   12 1.00    0 0.00   0 0  0
+  1 0.60   12 1.00   22 0.00   0 0  0
+ 16 0.00   60 0.00    2 1.00   0 0  1
+ 16 0.30   90 0.10   12 0.05   0 0  1
+ 16 0.50    2 0.50    8 0.90   0 0  0
+ 22 0.20    1 0.50    3 1.00   0 0  1
+  1 0.10    2 0.00   60 0.00   0 0  0
+  3 0.00    3 0.10    0 0.00   0 0  0
+  8 0.20    3 0.90   30 0.00   0 0  0
+ 16 0.80    1 1.00  130 1.00   0 0  0
+  5 0.00   60 0.50   22 0.00   0 0  0
+ 12 1.00   12 1.00  130 1.00   0 0  0
+  2 0.60    3 1.00  130 0.05   0 0  0
+ 22 0.00  130 1.00   22 1.00   0 0  1
+130 0.00    3 0.20   60 0.00   0 0  1
+  8 0.80    8 0.05    3 0.05   0 0  0
+  1 0.00    3 0.00    2 0.10   0 0  0
+ 12 0.00   12 0.50  130 1.00   0 0  1
+ 90 0.00    3 0.00   12 0.00   0 0  1
+  3 0.80   45 0.20    8 0.00   0 0  0
+ 60 0.60   45 0.20   90 1.00   0 0  0
+ 45 0.00   90 0.90    1 0.00   0 0  1
+  1 0.00   90 1.00   22 1.00   0 0  0
+ 30 0.50    2 0.00    3 0.00   0 0  0
+  3 0.00  130 0.10    2 0.00   0 0  0
+ 30 0.00    2 0.90   45 0.00   0 0  1
+ 90 0.00    8 0.90   12 0.50   0 0  1
+ 22 0.20   12 1.00    3 0.20   0 0  1
+  1 1.00   60 0.05    0 0.00   0 0  0
+  2 0.30   16 0.20    8 0.50   0 0  0
+  3 0.80    2 1.00    1 0.00   0 0  0
+  8 0.00   90 0.50  130 1.00   0 0  0
+ 30 0.00   22 0.20   30 0.10   0 0  1
+  5 0.00   60 0.00   60 0.50   0 0  0
+  2 0.20   22 0.20   60 0.50   0 0  0
+ 90 0.00   12 0.00    3 0.00   0 1  0
+ 90 0.20    5 0.00   16 0.00   0 1  1
+  8 1.00   30 0.05    0 0.00   0 1  0
+  5 1.00    5 0.05    8 0.50   0 1  0
+ 30 0.00   22 0.50    1 1.00   0 1  0
+ 16 1.00    3 0.00   60 0.50   0 1  0
+ 30 0.00    1 0.00   30 0.05   0 1  1
+  5 0.50   12 0.00   22 0.05   0 1  0
+ 45 0.30    0 0.00    1 0.10   0 1  0
+  5 0.10    8 1.00   22 1.00   0 1  0
+ 12 0.60   30 0.00  130 0.90   0 1  0
+ 90 1.00    1 1.00   22 0.00   0 1  0
+  5 0.00   14 0.10   60 0.00   0 0  0
+ 11 0.00  100 0.10    3 0.10   0 0  0
+  5 0.00   20 0.00   60 0.00   0 0  1
+  7 0.00   20 0.00  100 0.00   0 0  1
+  9 0.00   20 0.00    3 0.00   0 0  0
+  7 0.00    3 0.10   14 0.10   0 0  0
+  1 0.00   35 0.00   60 0.00   0 0  1
+  1 0.00   16 0.10   60 0.00   0 0  1
+ 11 0.00   16 0.00    3 0.10   0 0  0
+  2 0.00   16 0.00    8 0.10   0 0  0
+  5 0.00    8 0.00   16 0.00   0 0  0
+  7 0.00   14 0.00    8 0.10   0 0  0
+  2 0.00   60 0.00  100 0.10   0 0  1
+  3 0.00   14 0.00   20 0.00   0 0  0
+  5 0.00    8 0.00   20 0.00   0 0  0
+  3 0.00   16 0.00   20 0.00   0 0  1
+  2 0.00   16 0.00    3 0.00   0 0  0
+  3 0.00   20 0.00   60 0.00   0 0  1
+  1 0.00   16 0.00   20 0.00   0 0  1
+  9 0.00   14 0.00   16 0.10   0 0  0
+  5 0.00   35 0.00   16 0.00   0 0  1
+  5 0.00   14 0.00    8 0.10   0 0  0
+ 11 0.00   16 0.10  100 0.00   0 0  1
+  5 0.00   14 0.00   35 0.00   0 0  0
+  3 0.00   14 0.00   60 0.00   0 0  0
+  5 0.00   35 0.00    8 0.10   0 0  0
+ 13 1.00   60 1.00    9 0.00   0 1  0
+  2 0.00    2 0.00   50 0.20   0 1  1
+  9 0.00    5 0.00    6 0.20   0 1  0
+  6 0.00    0 0.50   50 0.80   0 1  0
+ 13 0.00    9 0.50   15 0.20   0 1  1
+  4 1.00   60 0.00    3 0.20   0 1  0
+  6 0.00    5 1.00   25 0.80   0 1  0
+  4 0.00    9 0.00   90 0.00   0 1  1
+  4 0.00    9 0.50   90 0.00   0 1  1
+  4 0.00   30 0.00   25 0.20   0 1  1
+  2 1.00    0 0.50   90 0.00   0 1  0
+  6 0.00    5 0.00    9 0.00   0 1  1
+  2 0.00    0 1.00    6 0.00   0 1  0
+  9 0.00    9 1.00    9 0.20   0 1  1
+  6 0.00    9 1.00   25 0.00   0 1  1
+ 13 0.00    9 0.50   90 0.00   0 1  1
+  9 0.00    9 0.00   25 0.20   0 1  1
+  2 0.00    9 1.00    6 0.00   0 1  0
+  4 1.00   60 0.00    9 0.00   0 1  0
+  9 1.00   30 0.50    9 0.00   0 1  0
+  9 0.00   60 0.00    9 0.00   0 1  1
+  4 0.00    9 0.00   25 0.80   0 1  0
+  2 0.00    0 0.00    6 0.20   0 1  0
+  4 0.00   30 1.00   25 0.00   0 1  1
 """
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -365,8 +372,8 @@ def features(reader: _Reader) -> list[list[float]]:
     for i, (_, n, linked, article, marked, heading) in enumerate(blocks):
         before = blocks[i - 1][1:3] if i else (0, 0.0)
         after = blocks[i + 1][1:3] if i + 1 < len(blocks) else (0, 0.0)
-        place = 1 if article else -1 if reader.has_article else 0
-        out.append([n, linked, *before, *after, place, int(marked), int(heading)])
+        zone = -2 if marked else 1 if article else -1 if reader.has_article else 0
+        out.append([n, linked, *before, *after, zone, int(heading)])
     return out
 
 
