@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import search as S
@@ -11,6 +13,8 @@ from .registry import query
 
 START, END = "2024-01-01 00:10:00", "2024-01-01 12:00:00"
 TOKENS = ["achte", "aiaux"]
+#: Judged queries that are broadcast together.
+JUDGED = 5000
 HIT_SQL = "id, session_id, started_at, ended_at, substr(ocr_text, 1, 500) AS excerpt"
 _BETWEEN = f"ended_at >= TIMESTAMP '{START}' AND started_at <= TIMESTAMP '{END}'"
 
@@ -202,10 +206,14 @@ def phash_hamming(spark, sf_dir):
 SELECT item_id, count(ev.id) AS n_events, min(ev.id)::DOUBLE AS first_event FROM q LEFT JOIN ev ON contains(lower(ev.ocr_text), q.token) GROUP BY item_id"""
 )
 def judged_first_token(spark, sf_dir):
-    """Each judged query's first token against all events; the few queries are sent to the events."""
+    """Each judged query's first token against all events; the queries are sent to the events, some thousands at once."""
     from ..functions.text import query_tokens
 
     q = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.get(query_tokens(F.col("text")), F.lit(0))).alias("token"))
     ev = events(spark, sf_dir).select("id", F.lower("ocr_text").alias("low"))
-    hits = ev.join(F.broadcast(q), F.expr("contains(low, token)")).groupBy("item_id").agg(F.count("id").alias("n_events"), F.min("id").cast("double").alias("first_event"))
-    return q.select("item_id").join(hits, "item_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    found, parts = None, max(1, math.ceil(q.count() / JUDGED))
+    for i in range(parts):
+        some = q.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i)
+        hits = ev.join(F.broadcast(some), F.expr("contains(low, token)")).groupBy("item_id").agg(F.count("id").alias("n_events"), F.min("id").cast("double").alias("first_event"))
+        found = hits if found is None else found.unionByName(hits)
+    return q.select("item_id").join(found, "item_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
