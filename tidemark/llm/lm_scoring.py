@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, materialise, small_batches
+from .common import crc_mod, materialise, settle, small_batches
 from .textops import mix, slices, utf8, word_hashes
 
 VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
@@ -406,7 +406,11 @@ def _trained(dealt: DataFrame, fit) -> DataFrame:
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, as a table."""
+    return settle("lm-result", lambda: _scored(docs))
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
