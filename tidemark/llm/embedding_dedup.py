@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, settle, small_batches
 from .components import components
 
 COSINE = 0.98
@@ -211,7 +211,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -> tupl
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row."""
+    """vec_id, n_links, component_id, kept of each row, as a table."""
+    return settle("vector-result", lambda: _near_vectors(vectors))
+
+
+def _near_vectors(vectors: DataFrame) -> DataFrame:
     rows, classes, joined = linked(vectors)
     groups = components(joined.filter(F.col("other").isNotNull()).select(F.col("id").alias("a"), F.col("other").alias("b")))
     numbers = joined.filter(F.col("n_links").isNotNull()).select("id", "n_links")
