@@ -9,7 +9,9 @@ one anchor make a stretch. So the initial q-gram buckets are the anchors' bucket
    of their first 8 bytes, and buckets are sorted again and again on the identifiers of later offsets, 8, 16, 32 bytes
    on, each step using the last one's identifiers, until they tell LENGTH bytes apart. A bucket of one is final.
 3. A bucket with more than HOT different stretches, such as what surrounds a very common passage, isn't gathered in a
-   task: its windows are shuffled one by one by their hash instead, and told apart as in 1.
+   task: its windows are shuffled one by one by their hash instead, and told apart as in 1. Anchors that a sample of
+   the texts finds very common are dealt by their stretches from the start, and go that way at once. The sample only
+   decides how work is dealt.
 
 A match never crosses documents. "Earlier" is by doc_id, then start; null doc_id is before all others. Null or empty
 text: 0 bytes, nothing removed, the hash of nothing. Rows that repeat a doc_id must repeat its text; each is judged
@@ -25,17 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, settle, small_batches
 from .textops import mix, prefix_hashes, slices, stretch, utf8, whole_groups
 
 LENGTH, GRAM = 100, 40
 #: Stretches of a bucket that are refined in a task; about 3 MB.
 HOT = 20_000
+#: Of one in SAMPLE texts, anchors that occur OFTEN times are very common; their list is bounded by COMMON.
+SAMPLE, OFTEN, COMMON = 32, 64, 10_000
+#: Marks a very common anchor's stretch beside its number of windows.
+MARK = 128
 #: Ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 FIRST = -(1 << 63)
 LOW = np.uint64(0xFFFFFFFF)
-ROW = "h long, s long, doc long, at long"  # at: start << 8 | windows; below 0, -1 - that of a stretch to remove
+ROW = "h long, s long, doc long, at long"  # at: start << 8 | MARK or 0 | windows; below 0, -1 - that of a stretch to remove
 NAMES = ["h", "s", "doc", "at"]
 
 
@@ -86,7 +92,23 @@ def _earliest(h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return [c[keep] for c in out]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _common(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of very common anchors."""
+
+    def run(batches):
+        for batch in batches:
+            data, starts = utf8(batch.column(0))
+            for first, last in slices(starts):
+                h = stretches(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])[0]
+                found, n = np.unique(h.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["h", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc", F.lit("anchors")), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()["h"].to_numpy(np.int64))
+
+
+def _rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -95,14 +117,17 @@ def _rows(docs: DataFrame) -> DataFrame:
                 parts = []
                 for first, last in slices(starts):
                     h, s, begin, count, text = stretches(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
-                    parts.append((h.view(np.int64), s.view(np.int64), ids[first:last][text], ((begin - (starts[first:last] - starts[first])[text]) << 8) | count))
+                    often = np.isin(h.view(np.int64), common)
+                    h = np.where(often, mix(h ^ s), h)
+                    at = ((begin - (starts[first:last] - starts[first])[text]) << 8) | count | np.where(often, MARK, 0)
+                    parts.append((h.view(np.int64), s.view(np.int64), ids[first:last][text], at))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in _earliest(*(np.concatenate(c) for c in zip(*parts, strict=True)))], NAMES)
 
     return docs.mapInArrow(run, ROW)
 
 
-FOUND = "h long, doc long, start long, end long, windows long"  # windows: 0 to remove start to end, else a stretch to refine
+FOUND = "h long, doc long, start long, end long, windows long"  # windows: 0 to remove start to end, else a stretch to refine, with MARK
 
 
 def _found(h, doc, start, end, windows) -> pa.RecordBatch:
@@ -117,7 +142,7 @@ def _judge(batches):
         gone = at < 0
         take = at[gone]
         raw = -1 - take
-        out = [(h[gone], doc[gone], raw >> 8, (raw >> 8) + (raw & 255) - 1 + LENGTH, np.zeros(len(raw), np.int64))]
+        out = [(h[gone], doc[gone], raw >> 8, (raw >> 8) + (raw & (MARK - 1)) - 1 + LENGTH, np.zeros(len(raw), np.int64))]
         h, s, doc, at = h[~gone], s[~gone], doc[~gone], at[~gone]
         if len(h):
             if last is not None:
@@ -133,13 +158,14 @@ def _judge(batches):
             later = ~head & ((doc != first_doc) | (at != first_at))
             later[:skip] = False
             start = at[later] >> 8
-            out.append((h[later], doc[later], start, start + (at[later] & 255) - 1 + LENGTH, np.zeros(later.sum(), np.int64)))
+            out.append((h[later], doc[later], start, start + (at[later] & (MARK - 1)) - 1 + LENGTH, np.zeros(later.sum(), np.int64)))
             firsts = [c[head] for c in (h, s, doc, at)]
             if held is not None:
                 firsts = [np.concatenate(([x], c)) for x, c in zip(held, firsts, strict=True)]
             same = firsts[0][1:] == firsts[0][:-1]
             several = np.append(False, same) | np.append(same, False)
             several[0] |= shared and held is not None
+            several |= (firsts[3] & MARK) > 0
             done = slice(0, len(several) - 1)
             pick = np.flatnonzero(several[done])
             begin = firsts[3][pick] >> 8
@@ -241,11 +267,12 @@ def _stretch_bytes(batches):
 def removals(docs: DataFrame) -> DataFrame:
     """(doc, start, end) of strings to remove, which overlap, from (doc, text)."""
     small_batches(docs.sparkSession)
-    found = materialise(_sorted(_rows(docs)).mapInArrow(_judge, FOUND), "suffix-found")
+    found = materialise(_sorted(_rows(docs, _common(docs))).mapInArrow(_judge, FOUND), "suffix-found")
     out = found.filter(F.col("windows") == 0).select("doc", "start", "end")
     refine = found.filter(F.col("windows") > 0).select("h", "doc", (F.shiftleft("start", 8) + F.col("windows")).alias("at"))
     if refine.isEmpty():
         return out
+    refine, marked = refine.filter(F.col("at").bitwiseAND(MARK) == 0), refine.filter(F.col("at").bitwiseAND(MARK) != 0)
     hot = materialise(refine.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "suffix-hot")
     some = refine if hot.isEmpty() else refine.join(hot, "h", "left_anti")
     listed = some.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("listed"))
@@ -253,8 +280,9 @@ def removals(docs: DataFrame) -> DataFrame:
     own = texts.join(listed, "doc").select("doc", "text", "listed").mapInArrow(_stretch_bytes, "h long, doc long, start long, windows long, bytes binary")
     ours = own.repartition("h").sortWithinPartitions("h").mapInArrow(_refine, FOUND)
     out = out.unionByName(ours.select("doc", "start", "end"))
-    if not hot.isEmpty():
-        many = refine.join(hot, "h", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("listed"))
+    many = marked if hot.isEmpty() else marked.unionByName(refine.join(hot, "h", "left_semi"))
+    if not many.isEmpty():
+        many = many.groupBy("doc").agg(F.collect_list(F.col("at") - F.col("at").bitwiseAND(MARK)).alias("listed"))
         alone = _texts_of(docs, many.select("doc")).join(many, "doc").select("doc", "text", "listed").mapInArrow(_windows_alone, ROW)
         theirs = _sorted(alone).mapInArrow(_judge, FOUND).filter(F.col("windows") == 0)
         out = out.unionByName(theirs.select("doc", "start", "end"))
@@ -288,7 +316,11 @@ def _cut(batches):
 
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, as a table."""
+    return settle("suffix-result", lambda: _repeats_removed(docs))
+
+
+def _repeats_removed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), text.alias("text"))
     found = removals(d.select("doc", "text"))
