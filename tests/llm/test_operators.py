@@ -540,9 +540,11 @@ def repeated(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeats(spark, docs, repeated, monkeypatch, hot):
+@pytest.mark.parametrize("hot, often", [(20_000, 64), (2, 10**9), (20_000, 2), (2, 3)])
+def test_repeats(spark, docs, repeated, monkeypatch, hot, often):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 2)
     assert removed(docs) == repeats(pairs(docs))
     rows, df = repeated
     assert removed(df) == repeats(rows)
