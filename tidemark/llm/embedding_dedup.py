@@ -224,3 +224,13 @@ def _near_vectors(vectors: DataFrame) -> DataFrame:
     out = rows.join(known, ["label", "k1", "k2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+#: The query's rows by comparing all pairs.
+ORACLE = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(e, e)) AS z FROM v WHERE label IS NOT NULL AND e IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.z > 0 AND b.z > 0 WHERE list_inner_product(a.e, b.e) / (a.z * b.z) >= 0.98),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id AND r.c < l.b),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM m LEFT JOIN k USING (vec_id)
+"""

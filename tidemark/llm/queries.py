@@ -19,7 +19,7 @@ WHERE = {
     "op9_suffix_dedup": ("suffix_dedup", "repeats_removed", "documents"),
     "op10_embedding_dedup": ("embedding_dedup", "near_vectors", "embeddings"),
 }
-ORACLE_MODULES = {"op7_source_mixing": "mixing"}
+ORACLE_MODULES = {"op2_minhash_dedup": "minhash_dedup", "op7_source_mixing": "mixing", "op10_embedding_dedup": "embedding_dedup"}
 
 
 def _query(name: str):
