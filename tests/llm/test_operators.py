@@ -47,6 +47,18 @@ def test_every_operator_is_registered():
     assert numbers == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    sf = DATA / "sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, str(sf))
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want)
+
+
 def test_settled_results_leave_no_scratch_tables(spark):
     from pathlib import Path
 
