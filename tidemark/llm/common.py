@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,11 +25,14 @@ def table(sf_dir: str, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset, as in tests, a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        found = context.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = getattr(context, "_tidemark_shared", None)
+    if not found:
+        found = context._tidemark_shared = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
