@@ -61,11 +61,11 @@ def like(ev: DataFrame, needle: str, start=None, end=None, limit: int = BRANCH)
 
 
 def any_of(text: Column, tokens: list[str]) -> Column:
-    """Holds one of the tokens in any case; one pattern, so that the text is folded once."""
-    if not tokens:
-        return F.lit(False)
+    """Holds one of the tokens in any case. A few byte searches are faster than one pattern of alternatives, many aren't."""
     low = F.lower(text)
-    return low.contains(tokens[0].lower()) if len(tokens) == 1 else low.rlike("|".join(rf"\Q{t.lower()}\E" for t in tokens))
+    if len(tokens) > 4:
+        return low.rlike("|".join(rf"\Q{t.lower()}\E" for t in tokens))
+    return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in tokens], F.lit(False))
 
 
 def match_any(ev: DataFrame, tokens: list[str]) -> DataFrame:
