@@ -516,6 +516,40 @@ def test_lm_streams_equal_single_documents_and_sum_to_one():
     assert np.exp(ends).sum() == pytest.approx(1.0, rel=1e-4)
 
 
+def test_lm_trains_on_every_token(spark):
+    rows = [(1, "a b c d " * 500), (2, "b a"), (2, "b a"), (None, None), (3, "c " * 33)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common.small_batches(spark)
+    counts = lm_scoring.count_tokens(df.select("text")).toPandas()
+    v = lm_scoring.Vocabulary(counts["h"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64), int(counts["n"].sum()), len(counts))
+    got = [(r["doc_id"], np.frombuffer(r["ids"], np.int16), r["windows"]) for r in lm_scoring.numbered(df, v).collect()]
+    assert sorted(((d, len(i), n) for d, i, n in got), key=repr) == sorted(((d, len(words(t)) + 1, (len(words(t)) + 32) // 32) for d, t in rows), key=repr)
+    assert Counter(v.lookup[np.concatenate([i for _, i, _ in got]) - 1].tolist()) == dict(zip(v.lookup.tolist(), v.counts.tolist()))
+    assert lm_scoring.train_documents(lm_scoring.initial(v), v, [i for _, i, _ in got], lanes=2) == v.total
+
+
+def test_lm_training_carries_the_state_through_a_document(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = lm_scoring.Vocabulary(np.arange(2, 42, dtype=np.uint64), rng.integers(1, 50, 40), 3000, 200)
+    texts, calls, run = [rng.integers(0, v.size, n).astype(np.int16) for n in (100, 7, 40, 64)], [], lm_scoring.train_segment
+
+    def seen(w, v, x, y, h):
+        out = run(w, v, x, y, h)
+        calls.append((x, y, h, out[1]))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "train_segment", seen)
+    lm_scoring.train_documents(lm_scoring.initial(v), v, texts[:1])
+    assert np.concatenate([y[:, 0] for _, y, _, _ in calls])[:100].tolist() == texts[0].tolist()
+    assert np.concatenate([x[:, 0] for x, _, _, _ in calls])[1:100].tolist() == texts[0][:-1].tolist()
+    assert not calls[0][2].any() and all((b[2] == a[3]).all() for a, b in zip(calls, calls[1:]))
+    calls.clear()
+    # Two lanes: the second document ends first, and the third starts in its lane with a new state.
+    assert lm_scoring.train_documents(lm_scoring.initial(v), v, texts, lanes=2) == sum(map(len, texts))
+    begins = [(x[0] == v.end) & ~h.any(axis=1) for x, _, h, _ in calls]
+    assert sum(int(b.sum()) for b in begins) == len(texts)
+
+
 def test_table_of_keys():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 62, 5000).astype(np.uint64))
     t = lm_scoring.Table(keys)

@@ -4,10 +4,10 @@ Counts of all training tokens are aggregated as 64-bit word hashes. The VOCABULA
 word are the model's outputs, in CLASSES classes of about equal mass; an unknown word's probability is the model's for
 the unknown word times its smoothed share among such words, so that every text has a probability.
 
-Training: each training document gives one window of WINDOW tokens, at a place chosen by hash. Windows are dealt to
-trainers by hash; each runs truncated backpropagation over segments of SEGMENT tokens, carrying the state from segment
-to segment, and ROUNDS times all trainers' weights are averaged by their tokens. Scoring carries the state through
-whole documents, window after window, without a cut. Frequent counts go to executors in a table of bounded size; rarer
+Training: every token of each training document. Documents are dealt to trainers by hash; each streams its documents
+through LANES lanes, WINDOW tokens of each at a time, in truncated backpropagation over segments of SEGMENT tokens. The
+state is carried from segment to segment and from window to window until the document ends. ROUNDS times all trainers'
+weights are averaged by their tokens. Scoring carries the state through whole documents in the same way. Frequent counts go to executors in a table of bounded size; rarer
 words of a document are joined with the counts by a shuffle.
 
 Training documents: crc32(doc_id as text) mod 7 is not 2; a null doc_id is trained on and isn't held out. Null or empty
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from .textops import mix, slices, utf8, word_hashes
 
 VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
 WINDOW, SEGMENT, LANES, ROUNDS, RATE = 32, 16, 128, 2, 0.08
-#: Windows of a trainer at least, and trainers at most; each streams its windows.
+#: Windows of a trainer at least, and trainers at most; each streams its documents.
 TRAINER, TRAINERS = 6000, 1024
 #: Words whose counts every executor holds; about 10 MB.
 LOOKUP = 262_144
@@ -251,14 +251,26 @@ def train_segment(w: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
     return grads, hs[-1], float(logp.sum() / max(1, len(valid)))
 
 
-def train_windows(w: dict, v: Vocabulary, windows) -> int:
-    """Adagrad over batches (lanes, WINDOW) of output numbers, in place; the number of tokens. -1 fills short windows."""
+def train_documents(w: dict, v: Vocabulary, docs, lanes: int = LANES) -> int:
+    """Adagrad over all output numbers of each document, in place; the number of tokens. A lane that ends a document takes the next one."""
     squares, seen = {k: np.full_like(a, 1e-6) for k, a in w.items()}, 0
-    for block in windows:
-        y = block.T
-        x = np.concatenate([np.full((1, y.shape[1]), v.end, y.dtype), np.maximum(y[:-1], 0)])
-        h = np.zeros((y.shape[1], HIDDEN), np.float32)
-        for t in range(0, y.shape[0], SEGMENT):
+    docs, held, h = iter(docs), [], np.zeros((0, HIDDEN), np.float32)
+    while True:
+        going = [i for i, (d, at) in enumerate(held) if at < len(d)]
+        fresh = [(d, 0) for d in islice(docs, lanes - len(going))]
+        held = [held[i] for i in going] + fresh
+        if not held:
+            return seen
+        h = np.concatenate([h[going], np.zeros((len(fresh), HIDDEN), np.float32)])
+        y = np.full((len(held), WINDOW), -1, np.int64)
+        for row, (d, at) in zip(y, held, strict=True):
+            part = d[at : at + WINDOW]
+            row[: len(part)] = part
+        first = np.array([d[at - 1] if at else v.end for d, at in held], y.dtype)
+        held = [(d, at + WINDOW) for d, at in held]
+        y = np.ascontiguousarray(y.T)
+        x = np.concatenate([first[None], np.maximum(y[:-1], 0)])
+        for t in range(0, WINDOW, SEGMENT):
             part = y[t : t + SEGMENT]
             n = int((part >= 0).sum())
             if not n:
@@ -270,7 +282,6 @@ def train_windows(w: dict, v: Vocabulary, windows) -> int:
                 squares[k] += g * g
                 w[k] -= RATE * g / np.sqrt(squares[k])
             seen += n
-    return seen
 
 
 def score_streams(w: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
@@ -333,54 +344,42 @@ def score_streams(w: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = S
     return out
 
 
-def windows_of(train: DataFrame, v: Vocabulary) -> DataFrame:
-    """(key, ids) of one window a training document, as 16-bit output numbers."""
+def numbered(train: DataFrame, v: Vocabulary) -> DataFrame:
+    """(doc_id, key, windows, ids) of (doc_id, text): all tokens of each training document as 16-bit output numbers."""
     sent = train.sparkSession.sparkContext.broadcast(v.lookup[: v.size - 1])
+    names = ["doc_id", "key", "windows", "ids"]
 
     def run(batches):
         table = Table(sent.value)
         for batch in batches:
-            data, starts = utf8(batch.column(0))
+            data, starts = utf8(batch.column(1))
             for first, last in slices(starts):
                 found, begin = tokens(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
                 count = np.diff(begin)
-                # Hash of a text's own first and last words and its length: which window, and which trainer.
+                # Hash of a text's own first and last words and its length: which trainer, with the id.
                 key = mix(found[begin[:-1]] ^ mix(found[np.maximum(begin[1:] - 2, begin[:-1])]) ^ count.astype(np.uint64))
-                start = begin[:-1] + (mix(key) % np.maximum(1, count - WINDOW + 1).astype(np.uint64)).astype(np.int64)
-                at = start[:, None] + np.arange(WINDOW)
-                inside = at < begin[1:, None]
-                chosen = np.where(inside, at, 0)
-                ids = v.numbers(table.find(found[chosen.ravel()])).reshape(at.shape)
-                ids = np.where(inside, ids, -1).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in ids], pa.binary())], ["key", "ids"])
+                ids = v.numbers(table.find(found)).astype(np.int16)
+                own = pa.array([ids[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(key.view(np.int64)), pa.array(-(-count // WINDOW)), own], names)
 
-    return train.mapInArrow(run, "key long, ids binary")
+    return train.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, windows long, ids binary")
 
 
-def train_model(windows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after rounds of trainers over all windows, averaged by tokens in two steps."""
-    total = windows.count()
+def train_model(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights after rounds of trainers over all numbered documents, averaged by tokens in two steps."""
+    total = docs.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
     parts = max(1, min(TRAINERS, total // TRAINER))
     groups = max(1, math.isqrt(parts))
     flat = pack(initial(v))
-    dealt = windows.withColumn("trainer", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")) if total else windows
+    # The id too, so that copies of one text are spread.
+    dealt = docs.withColumn("trainer", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).cast("int")).select("trainer", "key", "doc_id", "ids")
     for round_ in range(rounds if total else 0):
-        sent = windows.sparkSession.sparkContext.broadcast(flat)
+        sent = docs.sparkSession.sparkContext.broadcast(flat)
 
         def fit(keys, batches, sent=sent, round_=round_):
             w = unpack(sent.value, v)
 
-            def blocks():
-                left: list[bytes] = []
-                for pdf in batches:
-                    left += pdf["ids"].tolist()
-                    while len(left) >= LANES:
-                        yield np.frombuffer(b"".join(left[:LANES]), np.int16).reshape(LANES, WINDOW).astype(np.int64)
-                        left = left[LANES:]
-                if left:
-                    yield np.frombuffer(b"".join(left), np.int16).reshape(-1, WINDOW).astype(np.int64)
-
-            n = train_windows(w, v, blocks())
+            n = train_documents(w, v, (np.frombuffer(ids, np.int16) for pdf in batches for ids in pdf["ids"]))
             yield pd.DataFrame({"trainer": [keys[0]], "n": [n], "weights": [pack(w).tobytes()]})
 
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -395,14 +394,14 @@ def train_model(windows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict
 
 
 def _trained(dealt: DataFrame, fit) -> DataFrame:
-    """Each trainer's windows, in one order, streamed through fit."""
+    """Each trainer's documents, in one order, streamed through fit."""
 
     def run(batches):
         parts = (kp for pdf in batches for kp in pdf.groupby("trainer", sort=True))
         for key, own in groupby(parts, key=lambda kp: kp[0]):
             yield from fit((key,), (part for _, part in own))
 
-    return dealt.repartition("trainer").sortWithinPartitions("trainer", "key", "ids").mapInPandas(run, "trainer int, n long, weights binary")
+    return dealt.repartition("trainer").sortWithinPartitions("trainer", "key", "doc_id", "ids").mapInPandas(run, "trainer int, n long, weights binary")
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -415,15 +414,15 @@ def _scored(docs: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    train = d.filter(~F.col("held_out")).select("text")
-    counts = materialise(count_tokens(train), "lm-counts")
+    train = d.filter(~F.col("held_out")).select("doc_id", "text")
+    counts = materialise(count_tokens(train.select("text")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(50_000).toPandas()
     fits = levels[levels["words"].cumsum() <= LOOKUP]
     least = int(fits["n"].min()) if len(fits) else 1 << 62
     frequent = counts.filter(F.col("n") >= least).toPandas()
     v = Vocabulary(frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), int(total), int(distinct))
-    model = train_model(materialise(windows_of(train, v), "lm-windows"), v)
+    model = train_model(materialise(numbered(train, v), "lm-numbered"), v)
     sent = context.broadcast((v, pack(model)))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, unknown long, rare array<long>, times array<int>"
 
