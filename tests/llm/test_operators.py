@@ -413,6 +413,19 @@ def test_copies_give_no_support(spark):
     assert pii.disclosing_terms(df).count() == 0
 
 
+def test_disclosing_terms_of_rare_values_in_whole_documents(spark):
+    far = " and so on" * 30
+    rows = [(i, f"Zorbulon spoke{far} mail zed@example.org on day {i}, {'yes' if i else 'no'}") for i in range(2)]
+    rows += [(5, f"Quux spoke{far} mail q@example.org"), (6, None), (7, f"Twice spoke{far} mail t@example.org"), (8, f"Twice spoke{far} mail t@example.org")]
+    rows += [(100 + i, f"spoke and mail so on day {i % 9}, yes or no") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Two contexts are enough for a word found nowhere else; one document and its copies never are.
+    assert [tuple(r) for r in pii.disclosing_terms(df).collect()] == [("email:zed@example.org", "zorbulon")]
+    assert pii.disclosing_terms(df, level=1e-9).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert clean[0] == f" spoke{far} mail [EMAIL] on day 0, no" and clean[5] == f"Quux spoke{far} mail [EMAIL]"
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,23 +1,28 @@
 """Personal data: patterns find base spans, and corpus co-occurrence finds terms that disclose them.
 
 Base kinds are email, ip, card and phone. Beyond them the method is information-theoretic sanitisation: a protected
-entity c is a value of base kind; the terms t are the words within WINDOW code points of it. Over all documents,
-PMI(t; c) = log2(n(t, c) N / (n(t) n(c))) is the information that t gives about c, and IC(c) = log2(N / n(c)) all there
-is. A term that discloses THRESHOLD or more of it, near c in at least SUPPORT different contexts, becomes a span of
-kind `term` in every document that holds c. sanitised() generalises base spans to their kind and removes terms.
+entity c is a value of base kind; the terms t are the words of the documents that hold it, outside their base spans.
+Over all documents, PMI(t; c) = log2(n(t, c) N / (n(t) n(c))) is the information that t gives about c, and
+IC(c) = log2(N / n(c)) all there is. A term that discloses THRESHOLD or more of it, and is with c more often than chance
+explains, becomes a span of kind `term` in every document that holds c. Chance is tested for every pair, however rare:
+of the d different contexts of c (its document's first text within WINDOW code points, by hash) k are with t, which by
+chance has at most the probability exp(-d KL(k/d || n(t)/N)), Chernoff's bound of the hypergeometric tail. Times the
+number of pairs in all documents (Bonferroni) it must be LEVEL or less. sanitised() generalises base spans to their kind and removes terms.
 
 Null or empty text: no spans. Null doc_id: as any other. Repeated rows: the same result for each, and one context, so
-copies alone never give support. Rows that share a doc_id share its disclosing terms. Empty tables give empty results.
+copies alone never make a term significant. Rows that share a doc_id share its disclosing terms. Empty tables give empty results.
 Matches never overlap within a kind; kinds may overlap. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialise, settle
 
-WINDOW, THRESHOLD, SUPPORT = 80, 0.9, 3
+WINDOW, THRESHOLD, LEVEL = 80, 0.9, 0.05
 #: Candidate terms up to this many are sent to all executors (some MB), more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 #: So with documents that hold disclosing terms, whose other texts then stay in place.
@@ -110,37 +115,68 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, level: float = LEVEL) -> DataFrame:
     """(entity, term) where the term discloses the entity, as a table."""
-    return settle("pii-disclosing", lambda: _disclosing_terms(docs, window, threshold, support))
+    return settle("pii-disclosing", lambda: _disclosing_terms(docs, window, threshold, level))
 
 
-def _disclosing_terms(docs: DataFrame, window: int, threshold: float, support: int) -> DataFrame:
-    d = base_spans(_texts(docs.select("text")).withColumn("row", F.monotonically_increasing_id()).select("row", "__pii_text"))
-    hits = d.filter(F.size("__pii_base") > 0).select("row", "__pii_text", F.explode("__pii_base").alias("s"))
-    left = F.substring("__pii_text", F.greatest(F.col("s.start") - window + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(window)))
-    right = F.substring("__pii_text", F.col("s.end") + 1, F.lit(window))
+def _context(text: Column, s: Column, window: int) -> Column:
+    left = F.substring(text, F.greatest(s["start"] - window + 1, F.lit(1)), F.least(s["start"], F.lit(window)))
+    right = F.substring(text, s["end"] + 1, F.lit(window))
     # A word cut by the window's edge doesn't count.
-    left = F.when(F.col("s.start") > window, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
+    left = F.when(s["start"] > window, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
     right = F.when(F.length(right) == window, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    seen = hits.select("row", _entity(F.col("s")).alias("entity"), F.concat(left, F.lit(" "), right).alias("near"))
-    seen = materialise(seen.select("row", "entity", F.xxhash64("near").alias("context"), _terms(F.col("near")).alias("terms")), "pii-contexts")
-    often = seen.select("entity", "row", "context").groupBy("entity").agg(F.count_distinct("row").alias("n_c"), F.count_distinct("context").alias("contexts"))
-    often = often.filter(F.col("contexts") >= support).select("entity", "n_c")
-    pairs = seen.join(often, "entity").select("entity", "n_c", "row", "context", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count_distinct("row").alias("n_tc"), F.count_distinct("context").alias("contexts"))
-    pairs = materialise(pairs.filter(F.col("contexts") >= support).drop("contexts"), "pii-pairs")
+    return F.xxhash64(F.concat(left, F.lit(" "), right))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space in place of each span."""
+    step = "struct<at:int,parts:array<string>>"
+
+    def add(acc: Column, s: Column) -> Column:
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.array(between)).alias("parts")).cast(step)
+
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(step)
+    return _let(F.aggregate(by_place, start, add), lambda a: F.concat(F.array_join(a["parts"], " "), F.lit(" "), F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _disclosing_terms(docs: DataFrame, window: int, threshold: float, level: float) -> DataFrame:
+    d = base_spans(_texts(docs.select("text"))).filter(F.size("__pii_base") > 0)
+    text, spans = F.col("__pii_text"), F.col("__pii_base")
+    # A row's entities, each with the least of its contexts there, so that a row is one context of an entity at most.
+    near = F.array_sort(F.transform(spans, lambda s: F.struct(_entity(s).alias("entity"), _context(text, s, window).alias("context"))))
+    first = _let(near, lambda x: F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["entity"] != e["entity"])))
+    # A word that a span cuts is none of the text's own.
+    terms = F.array_intersect(_terms(_outside(text, spans)), _terms(text))
+    seen = materialise(d.select(first.alias("entities"), terms.alias("terms")), "pii-contexts")
+    every = _texts(docs.select("text"))
+    n, tested = float(every.count()), seen.agg(F.sum(F.size("entities") * F.size("terms"))).first()[0] or 1
+    n_c = seen.select(F.explode("entities").alias("e")).select("e.*").groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), F.count_distinct("context").alias("d"))
+    # Chance explains a single context with a probability of 1 / N at least: where that is too much, its terms need no count.
+    n_c = materialise(n_c.filter(F.col("d") >= (2 if tested > level * n else 1)), "pii-entities")
+    held = seen.select(F.explode("entities").alias("e"), "terms").select("e.entity", "e.context", "terms")
+    held = held.join(F.broadcast(n_c) if n_c.count() <= BROADCAST_TERMS else n_c, "entity")
+    pairs = held.select("entity", "n_c", "d", "context", F.explode("terms").alias("term")).groupBy("entity", "n_c", "d", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("entity", "n_c", "d", "term").agg(F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("k"))
+
+    def significant(n_t: Column) -> Column:
+        a, b = F.col("k") / F.col("d"), n_t / n
+        rest = F.when(F.col("k") < F.col("d"), (1 - a) * F.log((1 - a) / (1 - b))).otherwise(0.0)
+        return (a > b) & (F.log(F.lit(float(tested))) - F.col("d") * (a * F.log(a / b) + rest) <= math.log(level))
+
+    # A term is in n_tc documents at least: what isn't significant even so needs no count.
+    pairs = materialise(pairs.filter(significant(F.col("n_tc"))), "pii-pairs")
     wanted = pairs.select("term").distinct()
     if not (n_terms := wanted.count()):
         return pairs.select("entity", "term")
     if n_terms <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    every = _texts(docs.select("text"))
     n_t = every.select(F.explode(_terms(F.col("__pii_text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = every.count()
-    ic = F.log2(F.lit(float(n)) / F.col("n_c"))
-    pmi = F.log2(F.col("n_tc") * float(n) / (F.col("n_t") * F.col("n_c")))
-    return pairs.join(n_t, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
+    ic = F.log2(F.lit(n) / F.col("n_c"))
+    pmi = F.log2(F.col("n_tc") * n / (F.col("n_t") * F.col("n_c")))
+    return pairs.join(n_t, "term").filter((ic > 0) & (pmi >= threshold * ic) & significant(F.col("n_t"))).select("entity", "term")
 
 
 def _terms_of_documents(d: DataFrame, disclosing: DataFrame) -> DataFrame:
