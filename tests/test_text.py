@@ -64,3 +64,12 @@ def test_repeated_outer_chrome_goes(spark):
     rows = [("g", i, 100, 100, None, f'{{"lines":[{line("Site header", 1)},{line(f"body line {i}", 50)},{line("same body line", 60)},{line("same body line", 70)}]}}', []) for i in range(3)]
     texts = {r["page"]: r["text"] for r in C.cleaned(pages(spark, rows)).collect()}
     assert texts == {i: f"body line {i}\nsame body line" for i in range(3)}
+
+
+def test_json_serialise_keeps_all_events(spark, tmp_path):
+    from tidemark.plans.text_queries import json_serialise
+
+    rows = [(999_999, "view", "{}"), (1_000_000, "é", "{}"), (5_000_000_000, "buy", None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["packed"] for r in json_serialise(spark, str(tmp_path)).collect()}
+    assert got == {999_999: '{"event_id":999999,"event_type":"view"}', 1_000_000: '{"event_id":1000000,"event_type":"é"}', 5_000_000_000: None}
