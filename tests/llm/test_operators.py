@@ -62,18 +62,42 @@ def test_queries_equal_their_sql(spark, name):
 def test_settled_results_leave_no_scratch_tables(spark):
     from pathlib import Path
 
-    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "tidemark"
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "tidemark" / spark.sparkContext.applicationId
     before = set(folder.iterdir()) if folder.exists() else set()
 
     def build():
         a = common.settle("inner", lambda: common.materialise(spark.range(10), "one").filter("id > 2"))
         return common.materialise(a, "two").filter("id > 5")
 
-    out = common.settle("outer", build)
-    assert out.count() == 4
+    rows = spark.conf.get(common.ARROW_ROWS)
+    out = common.settle("outer", lambda: (common.small_batches(spark, 7), build())[1])
+    assert out.count() == 4 and spark.conf.get(common.ARROW_ROWS) == rows
     assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["outer"]
 
 
+def test_threads_settle_apart(spark):
+    """A table of one thread isn't deleted by a query of another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def query(k):
+        return common.settle("t", lambda: common.materialise(spark.range(k), "own").filter("id >= 0")).count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(query, range(1, 9))) == list(range(1, 9))
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 # 1 ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
