@@ -14,9 +14,11 @@ one anchor make a stretch. So the initial q-gram buckets are the anchors' bucket
    decides how work is dealt.
 
 A match never crosses documents. "Earlier" is by doc_id, then start; null doc_id is before all others. Null or empty
-text: 0 bytes, nothing removed, the hash of nothing. Rows that repeat a doc_id must repeat its text; each is judged
-alike, and they aren't earlier than one another. An empty table gives an empty result. Texts are used whole; anchors
-and stretches are compared as 64-bit hashes, refined windows byte by byte.
+text: 0 bytes, nothing removed, the hash of nothing. A document is a doc_id with a text: rows that repeat both are one
+document, judged alike and not earlier than one another; rows with one doc_id, or none, and different texts are
+different documents, in the order of their texts' 64-bit hashes. An empty table gives an empty result, other columns
+are ignored. Texts are used whole, long ones in parts of SLICE bytes that overlap, so that a task's memory doesn't grow
+with a text but for its bytes; anchors and stretches are compared as 64-bit hashes, refined windows byte by byte.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, settle, small_batches
-from .textops import mix, prefix_hashes, slices, stretch, utf8, whole_groups
+from .common import document_keys, materialise, settle, small_batches
+from .textops import SLICE, mix, prefix_hashes, slices, stretch, utf8, whole_groups
 
 LENGTH, GRAM = 100, 40
 #: Stretches of a bucket that are refined in a task; about 3 MB.
@@ -77,6 +79,20 @@ def stretches(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, q: int
     return grams[anchor[at]], whole, begin, count, text[begin]
 
 
+def _stretches_of(data: np.ndarray, starts: np.ndarray):
+    """Stretches of some texts at a time, as stretches() gives them, with places in the text and its number; a long text goes in parts."""
+    for first, last in slices(starts):
+        low, high = int(starts[first]), int(starts[last])
+        if last > first + 1 or high - low <= 2 * SLICE:
+            h, s, begin, count, text = stretches(data[low:high], starts[first : last + 1] - low)
+            yield h, s, begin - (starts[first:last] - low)[text], count, text + first
+            continue
+        for at in range(low, high - LENGTH + 1, SLICE):  # windows that start in the part
+            end = min(at + SLICE + LENGTH - 1, high)
+            h, s, begin, count, text = stretches(data[at:end], np.array([0, end - at]))
+            yield h, s, begin + (at - low), count, text + first
+
+
 def _earliest(h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Of rows that are equal as a whole, all but the earliest as removals, dealt to places of their own."""
     order = np.lexsort((at, doc, s, h))
@@ -98,8 +114,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             data, starts = utf8(batch.column(0))
-            for first, last in slices(starts):
-                h = stretches(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])[0]
+            for h, *_ in _stretches_of(data, starts):
                 found, n = np.unique(h.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["h", "n"])
 
@@ -115,12 +130,11 @@ def _rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 ids = batch.column(0).to_numpy()
                 data, starts = utf8(batch.column(1))
                 parts = []
-                for first, last in slices(starts):
-                    h, s, begin, count, text = stretches(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
+                for h, s, begin, count, text in _stretches_of(data, starts):
                     often = np.isin(h.view(np.int64), common)
                     h = np.where(often, mix(h ^ s), h)
-                    at = ((begin - (starts[first:last] - starts[first])[text]) << 8) | count | np.where(often, MARK, 0)
-                    parts.append((h.view(np.int64), s.view(np.int64), ids[first:last][text], at))
+                    at = (begin << 8) | count | np.where(often, MARK, 0)
+                    parts.append((h.view(np.int64), s.view(np.int64), ids[text], at))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in _earliest(*(np.concatenate(c) for c in zip(*parts, strict=True)))], NAMES)
 
@@ -245,10 +259,11 @@ def _windows_alone(batches):
         for batch in batches:
             for doc, raw, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = np.frombuffer((raw or "").encode(), np.uint8)
-                prefix = prefix_hashes(data)
-                at = np.concatenate([np.arange(x >> 8, (x >> 8) + (x & 255)) for x in listed])
-                key = stretch(prefix, at, at + LENGTH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(np.full(len(at), doc)), pa.array((at << 8) | 1)], NAMES)
+                every = np.sort(np.concatenate([np.arange(x >> 8, (x >> 8) + (x & 255)) for x in listed]))
+                for low in range(int(every[0]) // SLICE * SLICE, int(every[-1]) + 1, SLICE):
+                    at = every[np.searchsorted(every, low) : np.searchsorted(every, low + SLICE)]
+                    key = stretch(prefix_hashes(data[low : low + SLICE + LENGTH]), at - low, at - low + LENGTH).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(np.full(len(at), doc)), pa.array((at << 8) | 1)], NAMES)
 
 
 def _stretch_bytes(batches):
@@ -321,8 +336,8 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
 
 
 def _repeats_removed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), text.alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    d = document_keys(docs.select("doc_id", text), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "doc")
     found = removals(d.select("doc", "text"))
     spans = found.groupBy("doc").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
     spans = materialise(spans, "suffix-spans")

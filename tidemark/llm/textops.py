@@ -93,9 +93,19 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with A-Z made small, and its text's number."""
-    begin, end, text = words(data, starts)
-    return stretch(prefix_hashes(LOWER[data]), begin, end), text
+    """Hash of each word with A-Z made small, and its text's number. A long text goes in parts that end at white space."""
+    found, at = [], 0
+    while at < len(data) or not found:
+        end = len(data)
+        if end - at > 2 * SLICE:
+            ends = np.flatnonzero(SPACE[data[at + SLICE : at + 2 * SLICE]])
+            if len(ends):
+                end = at + SLICE + int(ends[0])
+        first, last = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, end, "left"))
+        begin, stop, text = words(data[at:end], np.clip(starts[first : last + 1], at, end) - at)
+        found.append((stretch(prefix_hashes(LOWER[data[at:end]]), begin, stop), text + first))
+        at = end
+    return np.concatenate([h for h, _ in found]), np.concatenate([t for _, t in found])
 
 
 def runs(key: np.ndarray) -> list[tuple[int, int]]:
