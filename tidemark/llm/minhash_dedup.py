@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, settle, small_batches
+from .common import document_keys, guarded, materialise, settle, small_batches
 from .components import components
 from .textops import mix, slices, utf8, whole_groups, word_hashes
 
@@ -381,11 +381,16 @@ def _near_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group, that of its least doc_id; all columns stay.
 
-    A row without doc_id stands for its text, behind all with one. Of rows that repeat a doc_id one stays. Rows without
-    words are alike to nothing and stay.
+    A row without doc_id stands for its text, behind all with one. Rows with one doc_id and different texts are
+    different documents, in the order of their texts' hashes; of rows that repeat both one stays. Rows without words are
+    alike to nothing and stay.
     """
+    return guarded(docs, lambda d: _deduplicated(d, k, percent))
+
+
+def _deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     behind = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 2) + F.lit(1 << 62)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind))
+    keyed = document_keys(docs, F.coalesce(F.col("doc_id").cast("long"), behind), "__key")
     near = near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent)
     keys = near.groupBy(F.col("doc_id").alias("__key")).agg(F.count_if("kept").alias("n"))
     gone = keys.filter("n = 0").select("__key")
