@@ -5,14 +5,18 @@ its weight's share of all words, at most ``cap`` times its own words; what a cap
 weight. A source's rate is its target over its words, and a document is taken floor(rate) times, plus once more where
 a uniform number hashed from seed and doc_id is below the fraction. So a rerun takes the same copies.
 
-Null or blank text: size 0, taken 0. Null doc_id: hashed as an empty id. Repeated rows: each is drawn, with equal
-outcome. A source without words has target 0 and rate 0. An empty table gives an empty result. Other columns stay.
+Null or blank text: size 0, taken 0. Null doc_id: drawn by the text's hash. Repeated rows: each is drawn, with equal
+outcome. Sources of one weight and size: the first by code point is capped first. A source without words has target 0
+and rate 0. An empty table gives an empty result. Whole texts of any length are counted. Other columns, of any name, stay
+in mix() and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import guarded
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED, CAP, CYCLE = "mix-1", 3, 3
 #: A target table of more sources than this is joined without a broadcast hint.
@@ -51,10 +55,10 @@ def source_targets(sized: DataFrame, cap: int = CAP, cycle: int = CYCLE) -> Data
     return s.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of the md5 of seed and id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 52 bits of the md5 of seed and id, or text where there is no id."""
+    hashed = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), text, F.lit("")))
+    return F.conv(F.substring(F.md5(hashed.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def plan_copies(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
@@ -67,12 +71,16 @@ def plan_copies(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> tuple[Data
         t = F.broadcast(t)
     rate = F.col("__mix_rate")
     out = sized.join(t, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
-    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    extra = (uniform(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
     return out.withColumn(COPIES, F.floor(rate).cast("long") + extra), targets
 
 
 def mix(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
+    return guarded(docs, lambda d: _mix(d, seed, cap))
+
+
+def _mix(docs: DataFrame, seed: str, cap: int) -> DataFrame:
     planned, _ = plan_copies(docs, seed, cap)
     times = F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int"))).alias("__mix_nth")
     return planned.filter(F.col(COPIES) > 0).select(*docs.columns, times).drop("__mix_nth")
@@ -91,7 +99,7 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::BIGINT AS rest,
@@ -103,7 +111,7 @@ t AS (SELECT source, source_size, CASE WHEN hit OR source_size = 0 THEN (3 * sou
         / (sum(w) OVER () - coalesce(sum(CASE WHEN hit THEN w END) OVER (), 0))::DOUBLE END AS target FROM f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+        ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, d.text, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
