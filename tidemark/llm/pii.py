@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, settle
+from .common import guarded, materialise, settle
 
 WINDOW, THRESHOLD, LEVEL = 80, 0.9, 0.05
 #: Candidate terms up to this many are sent to all executors (some MB), more are joined by a shuffle.
@@ -225,6 +225,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with base spans generalised to [EMAIL], [IP], [CARD] or [PHONE] and disclosing terms removed; all columns stay."""
+    return guarded(docs, lambda d: _sanitised(d))
+
+
+def _sanitised(docs: DataFrame) -> DataFrame:
     d, patterns = all_spans(docs)
     spans = F.col("__pii_base")
     if patterns is not None:
