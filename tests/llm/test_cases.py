@@ -1,15 +1,17 @@
 """Rows that share a doc_id or have none, long texts, and results recomputed from the definitions."""
 
 import hashlib
+import html
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, fingerprints, language_id, minhash_dedup, suffix_dedup, textops
+from tidemark.llm import common, fingerprints, html_extraction, language_id, minhash_dedup, suffix_dedup, textops
 
 CLASHING = [(None, "m" * 400), (None, "q" * 130 + "m" * 200), (None, "x"), (None, "m" * 400), (7, "m" * 120), (7, "other"), (7, "zz" + "m" * 150), (3, None), (3, ""), (5, "q" * 140)]
 
@@ -40,6 +42,67 @@ def test_document_keys(spark):
     assert sorted(r["key"] for r in common.document_keys(one, F.col("doc_id"), "key").collect()) == [2, 4, 4]
 
 
+# 1 -----------------------------------------------------------------------------------------------------------------
+
+
+def article_of(page):
+    """The article of one of the driver's pages by cutting its markup."""
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_html_pages_equal_their_articles(spark):
+    pages = spark.read.parquet(str(DATA / "sf0.01" / "pages.parquet"))
+    got = html_extraction.extracted(pages.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))).collect()
+    want = {r["page_id"]: article_of(r["html"]) for r in pages.collect()}
+    assert len(got) == len(want) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+
+
+PLAIN = """<body><div><a href=1>Home</a></div><div><a href=2>World news</a></div><div>Buy new shoes today</div><div><a href=3>Sport</a></div>
+<h2>How rivers find their way to the sea</h2><div>{0}</div><div>A short one.</div><div>{0} with <a href=4>one link</a> in it</div>
+<div><a href=5>More of this</a></div><div><a href=6>Other things to read</a></div><div>Copyright of the paper</div></body>"""
+LONG = "Many words of a paragraph that goes on about rivers and hills and towns, as long texts do, with few links in it"
+
+
+def test_html_without_article_or_names():
+    """Words and links of a block and its neighbours decide where nothing is named."""
+    tree = html_extraction.grow(html_extraction.table())
+    assert html_extraction.main_text(PLAIN.format(LONG), tree) == f"How rivers find their way to the sea\n\n{LONG}\n\nA short one.\n\n{LONG} with one link in it"
+
+
+def test_html_names_inside_an_article_drop_nothing():
+    tree = html_extraction.grow(html_extraction.table())
+    page = '<article><h1>Old notices</h1><p class="notice">A long paragraph of the article about notices.</p><p class="social-history">Another one.</p><form><p>{0}</p><p>{0}</p></form><div class="comments"><p>{0}</p></div></article>'
+    assert html_extraction.main_text(page.format(LONG), tree) == f"Old notices\n\nA long paragraph of the article about notices.\n\nAnother one.\n\n{LONG}\n\n{LONG}"
+
+
+def test_html_decisions_are_no_single_figure(spark):
+    """On the driver's pages, on these without names, and on small ones no figure alone decides; neighbours' figures do change decisions."""
+    tree = html_extraction.grow(html_extraction.table())
+    pages = [r["html"] for r in spark.read.parquet(str(DATA / "sf0.01" / "pages.parquet")).collect()]
+    bare = [re.sub(r"<(/?)(nav|footer|article|ul|li)\b", r"<\1div", p).replace(' class="ad"', "") for p in pages]
+    for some in (pages, [*bare, PLAIN.format(LONG)]):
+        rows = [x for p in some for x in html_extraction.figures(html_extraction.read(p).blocks)]
+        decided = [html_extraction.decide(tree, x) for x in rows]
+        for f in range(len(rows[0])):
+            for limit in {x[f] for x in rows}:
+                same = sum((x[f] <= limit) == bool(d) for x, d in zip(rows, decided))
+                assert 0 < same < len(rows)
+        alone = [html_extraction.decide(tree, [*x[:2], 0, 0.0, 0, 0.0, *x[6:]]) for x in rows]
+        mixed = [html_extraction.decide(tree, [*x[:2], *y[2:6], *x[6:]]) for x, y in zip(rows, rows[7:] + rows[:7])]
+        assert some is pages or (alone != decided and mixed != decided)
+    right = [bool(html_extraction.decide(tree, x)) == (t in article_of(p).split("\n\n")) for p, b in zip(pages, bare) for r in [html_extraction.read(b)] for t, x in zip(r.texts, html_extraction.figures(r.blocks))]
+    assert sum(right) > 0.92 * len(right)
+
+
+def test_html_long_page():
+    tree = html_extraction.grow(html_extraction.table())
+    page = "<article>" + "<p>Some &lt;words&gt; of a <b>paragraph</b>\tthat is not long</p>" * 30_000 + "</article>"
+    got = html_extraction.main_text(page, tree).split("\n\n")
+    assert len(got) == 30_000 and set(got) == {"Some <words> of a paragraph that is not long"}
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' figures.
 
-A page is read once into blocks: text between block-level tags, with its number of words, the share of them in links,
-and where it lies. The tree is grown by Gini impurity on TABLE, a small labelled table, at the start of a query; a leaf
-that holds one label, or is too small, ends it. Content blocks are joined in page order.
+A page is read once into blocks: text between block-level tags. A block's figures are its words, the share of them in
+links, the same of the block before and after, whether it is a heading, and two hints from markup, which tip what the
+figures leave open: an element that frames pages (form: 1, navigation, footer and the like: 2) and words in class, id or
+role (such of sidebars and notices, which count outside of an article only: 1, of adverts and reader comments: 2). The
+tree is grown by Gini impurity on PAGES, small pages with their blocks labelled, at the start of a query; a branch ends
+where one label is left, or DEPTH deep. Content blocks are joined in page order. That a block lies in an article element is no figure.
 
 Null or empty html, or html without content: empty text. Null page_id or url: kept as they are. Repeated rows: each is
-extracted. An empty table gives an empty result. Tags that stay open, stray ends, and pages cut in a tag are read like
-browsers read them, roughly: an end closes the nearest open element of its name, and a script without end takes the rest.
+extracted. An empty table gives an empty result. Other columns are ignored. Pages of any length are read whole, a batch
+of pages at a time in a task. Tags that stay open, stray ends, and pages cut in a tag are read like browsers read them,
+roughly: an end closes the nearest open element of its name, and a script without end takes the rest.
 """
 
 from __future__ import annotations
@@ -26,206 +30,53 @@ BLOCK = set(
     "hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "label", "fieldset"}
+FRAMES = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "head", "label"}
+FORMS = {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle adsense banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "masthead topbar footer comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login social share sharing related recommended widget form search copyright pager pagination toolbar "
+    "banner promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr notice notices "
+    "alert popup modal overlay newsletter subscribe subscription signup login social share sharing widget form search copyright pager pagination toolbar "
     "complementary contentinfo dialog skip".split()
 )
-COMMENT_MARKS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "sponsored", "advert", "advertisement", "related"}
-
-#: words, share of link words; the same of the block before and after; zone: 1 in an article, 0 on a page without one,
-#: -1 outside of the page's article, -2 in what isn't the article by name; heading; label: 1 for the main text.
-TABLE = """
- 16 0.60  130 0.90   90 0.90   1 0  0
- 22 0.80    3 1.00    2 0.90   1 0  0
- 45 0.80   90 0.00    2 0.90   1 0  0
-  5 0.00    1 0.00   22 1.00   1 0  1
- 12 0.50   45 1.00   60 0.00   1 0  1
- 30 0.00  130 0.00   22 0.00   1 0  1
-  1 0.00    3 0.00   30 0.90   1 0  1
-  8 0.50   30 0.05  130 1.00   1 0  1
-  3 1.00    5 0.00   16 0.00   1 0  0
- 16 1.00    5 1.00   12 0.00   1 0  0
- 60 0.10    8 0.05   90 1.00   1 0  1
-  5 0.00    1 0.00   30 0.50   1 0  1
-  1 0.10   12 0.00    1 0.00   1 0  1
-  3 0.00    0 0.00   16 0.50   1 0  1
- 60 0.30   12 1.00    1 0.05   1 0  1
- 90 1.00    5 0.00    8 0.10   1 0  0
-  8 0.00   12 0.00   90 0.00   1 0  1
-  3 0.00    0 0.00    0 0.00   1 0  1
- 16 0.50    2 1.00   45 0.05   1 0  1
- 16 0.60    3 0.00   60 0.50   1 0  0
- 45 0.30    1 0.50   12 0.05   1 0  1
-  1 0.10  130 1.00   90 0.10   1 0  1
-  1 0.00    2 1.00   12 1.00   1 0  1
-  1 0.00    2 0.90    3 0.10   1 0  1
-  1 0.80    8 0.10  130 0.50   1 1  1
-  1 0.00    1 1.00    3 0.05   1 1  1
-  1 0.80    8 1.00    8 0.90   1 1  1
-  2 0.80   16 1.00  130 0.00   1 1  1
-130 0.30    2 0.00   45 0.10   1 1  1
-  3 0.80    3 0.05   60 0.00   1 1  1
- 60 1.00   22 0.50    3 0.90   1 1  1
- 30 0.00   12 0.00    0 0.00   1 1  1
-  1 0.00   22 0.05    5 0.50   1 1  1
-  5 0.30  130 0.90   30 0.10   1 1  1
- 22 0.00   60 0.00    1 0.05  -2 0  0
- 16 0.60   45 1.00  130 1.00  -2 0  0
-  1 0.10    3 0.00    3 0.00  -2 0  0
-  5 0.30   16 0.00    3 0.00  -2 0  0
-  2 0.10    8 1.00   22 0.00  -2 0  0
-  1 0.20    2 0.20   16 1.00  -2 0  0
- 30 0.00   30 0.00    0 0.00  -2 0  0
- 16 0.20   60 0.00    5 0.00  -2 0  0
- 30 1.00    1 0.00   16 0.10  -2 0  0
-  8 0.00    1 0.90    1 1.00  -2 0  0
-  8 0.00   60 0.00   60 0.20  -2 0  0
-  8 0.00   45 0.00   16 0.50  -2 0  0
- 90 0.00  130 1.00   16 0.00  -2 1  0
- 30 1.00   12 1.00   12 0.00  -2 1  0
- 30 0.00    1 0.00    1 0.10  -2 1  0
- 12 0.20   12 1.00   60 0.90  -2 1  0
- 16 0.50  130 0.00   22 1.00  -1 0  0
- 90 0.60    0 0.00    5 1.00  -1 0  0
-  1 0.50    0 0.00    3 0.00  -1 0  0
- 16 0.80   45 0.10   16 0.00  -1 0  0
-  8 0.10    2 1.00   45 0.05  -1 0  0
- 22 0.00   90 0.90    8 0.90  -1 0  0
-  3 0.20   12 0.10   45 0.05  -1 0  0
- 45 0.30   90 0.05   90 0.05  -1 0  0
- 12 0.00   30 0.05    8 0.00  -1 0  0
-  2 0.50    8 0.00  130 0.00  -1 0  0
-  5 0.00    1 0.90   16 0.10  -1 0  0
-  3 0.30   12 1.00   45 0.90  -1 0  0
- 45 0.20   60 1.00  130 0.90  -1 0  0
-  8 0.00  130 0.10    0 0.00  -1 0  0
-130 0.80    0 0.00   45 0.10  -1 1  0
- 30 0.20    5 1.00   45 0.00  -1 1  0
- 45 0.00   12 0.05   16 0.00  -1 1  0
- 90 0.10    3 0.00   90 0.00  -1 1  0
- 45 0.00   16 1.00    1 0.20   0 0  1
-  1 1.00    3 0.90    3 0.10   0 0  0
-  2 0.00   90 1.00   16 0.00   0 0  0
-  2 0.00    5 0.20   90 1.00   0 0  0
- 60 0.60   22 0.00   30 0.50   0 0  0
-130 0.00    1 0.50   12 0.00   0 0  1
- 16 0.50    3 0.00   45 0.50   0 0  0
- 22 0.80   45 0.20   22 0.90   0 0  0
-  8 1.00    3 0.00    1 0.05   0 0  0
-  3 0.30    1 1.00    5 0.20   0 0  0
-  5 0.00    8 0.00   22 0.00   0 0  0
- 16 0.20   22 0.10   12 0.90   0 0  1
-  1 0.00   90 0.00  130 0.50   0 0  0
- 90 0.00    2 0.20   22 0.00   0 0  1
- 16 0.00   22 1.00   60 0.90   0 0  1
- 16 0.80   60 0.05    1 0.90   0 0  0
- 22 0.60    5 1.00  130 0.00   0 0  0
- 22 0.60  130 0.10   22 0.10   0 0  0
- 45 0.30  130 1.00  130 0.05   0 0  1
-  5 0.00   22 0.10   22 1.00   0 0  0
- 16 0.00   12 0.00   22 1.00   0 0  1
-  1 0.80   12 1.00    0 0.00   0 0  0
-  1 0.60   12 1.00   22 0.00   0 0  0
- 16 0.00   60 0.00    2 1.00   0 0  1
- 16 0.30   90 0.10   12 0.05   0 0  1
- 16 0.50    2 0.50    8 0.90   0 0  0
- 22 0.20    1 0.50    3 1.00   0 0  1
-  1 0.10    2 0.00   60 0.00   0 0  0
-  3 0.00    3 0.10    0 0.00   0 0  0
-  8 0.20    3 0.90   30 0.00   0 0  0
- 16 0.80    1 1.00  130 1.00   0 0  0
-  5 0.00   60 0.50   22 0.00   0 0  0
- 12 1.00   12 1.00  130 1.00   0 0  0
-  2 0.60    3 1.00  130 0.05   0 0  0
- 22 0.00  130 1.00   22 1.00   0 0  1
-130 0.00    3 0.20   60 0.00   0 0  1
-  8 0.80    8 0.05    3 0.05   0 0  0
-  1 0.00    3 0.00    2 0.10   0 0  0
- 12 0.00   12 0.50  130 1.00   0 0  1
- 90 0.00    3 0.00   12 0.00   0 0  1
-  3 0.80   45 0.20    8 0.00   0 0  0
- 60 0.60   45 0.20   90 1.00   0 0  0
- 45 0.00   90 0.90    1 0.00   0 0  1
-  1 0.00   90 1.00   22 1.00   0 0  0
- 30 0.50    2 0.00    3 0.00   0 0  0
-  3 0.00  130 0.10    2 0.00   0 0  0
- 30 0.00    2 0.90   45 0.00   0 0  1
- 90 0.00    8 0.90   12 0.50   0 0  1
- 22 0.20   12 1.00    3 0.20   0 0  1
-  1 1.00   60 0.05    0 0.00   0 0  0
-  2 0.30   16 0.20    8 0.50   0 0  0
-  3 0.80    2 1.00    1 0.00   0 0  0
-  8 0.00   90 0.50  130 1.00   0 0  0
- 30 0.00   22 0.20   30 0.10   0 0  1
-  5 0.00   60 0.00   60 0.50   0 0  0
-  2 0.20   22 0.20   60 0.50   0 0  0
- 90 0.00   12 0.00    3 0.00   0 1  0
- 90 0.20    5 0.00   16 0.00   0 1  1
-  8 1.00   30 0.05    0 0.00   0 1  0
-  5 1.00    5 0.05    8 0.50   0 1  0
- 30 0.00   22 0.50    1 1.00   0 1  0
- 16 1.00    3 0.00   60 0.50   0 1  0
- 30 0.00    1 0.00   30 0.05   0 1  1
-  5 0.50   12 0.00   22 0.05   0 1  0
- 45 0.30    0 0.00    1 0.10   0 1  0
-  5 0.10    8 1.00   22 1.00   0 1  0
- 12 0.60   30 0.00  130 0.90   0 1  0
- 90 1.00    1 1.00   22 0.00   0 1  0
-  5 0.00   14 0.10   60 0.00   0 0  0
- 11 0.00  100 0.10    3 0.10   0 0  0
-  5 0.00   20 0.00   60 0.00   0 0  1
-  7 0.00   20 0.00  100 0.00   0 0  1
-  9 0.00   20 0.00    3 0.00   0 0  0
-  7 0.00    3 0.10   14 0.10   0 0  0
-  1 0.00   35 0.00   60 0.00   0 0  1
-  1 0.00   16 0.10   60 0.00   0 0  1
- 11 0.00   16 0.00    3 0.10   0 0  0
-  2 0.00   16 0.00    8 0.10   0 0  0
-  5 0.00    8 0.00   16 0.00   0 0  0
-  7 0.00   14 0.00    8 0.10   0 0  0
-  2 0.00   60 0.00  100 0.10   0 0  1
-  3 0.00   14 0.00   20 0.00   0 0  0
-  5 0.00    8 0.00   20 0.00   0 0  0
-  3 0.00   16 0.00   20 0.00   0 0  1
-  2 0.00   16 0.00    3 0.00   0 0  0
-  3 0.00   20 0.00   60 0.00   0 0  1
-  1 0.00   16 0.00   20 0.00   0 0  1
-  9 0.00   14 0.00   16 0.10   0 0  0
-  5 0.00   35 0.00   16 0.00   0 0  1
-  5 0.00   14 0.00    8 0.10   0 0  0
- 11 0.00   16 0.10  100 0.00   0 0  1
-  5 0.00   14 0.00   35 0.00   0 0  0
-  3 0.00   14 0.00   60 0.00   0 0  0
-  5 0.00   35 0.00    8 0.10   0 0  0
- 13 1.00   60 1.00    9 0.00   0 1  0
-  2 0.00    2 0.00   50 0.20   0 1  1
-  9 0.00    5 0.00    6 0.20   0 1  0
-  6 0.00    0 0.50   50 0.80   0 1  0
- 13 0.00    9 0.50   15 0.20   0 1  1
-  4 1.00   60 0.00    3 0.20   0 1  0
-  6 0.00    5 1.00   25 0.80   0 1  0
-  4 0.00    9 0.00   90 0.00   0 1  1
-  4 0.00    9 0.50   90 0.00   0 1  1
-  4 0.00   30 0.00   25 0.20   0 1  1
-  2 1.00    0 0.50   90 0.00   0 1  0
-  6 0.00    5 0.00    9 0.00   0 1  1
-  2 0.00    0 1.00    6 0.00   0 1  0
-  9 0.00    9 1.00    9 0.20   0 1  1
-  6 0.00    9 1.00   25 0.00   0 1  1
- 13 0.00    9 0.50   90 0.00   0 1  1
-  9 0.00    9 0.00   25 0.20   0 1  1
-  2 0.00    9 1.00    6 0.00   0 1  0
-  4 1.00   60 0.00    9 0.00   0 1  0
-  9 1.00   30 0.50    9 0.00   0 1  0
-  9 0.00   60 0.00    9 0.00   0 1  1
-  4 0.00    9 0.00   25 0.80   0 1  0
-  2 0.00    0 0.00    6 0.20   0 1  0
-  4 0.00   30 1.00   25 0.00   0 1  1
+STRONG_MARKS = set(
+    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle adsense sponsor sponsored comment comments commentlist reply replies respond disqus related recommended".split()
+)
+
+#: Labelled pages: a block is words/percent of them in links; then h: heading, f: in a form, n: in an element that frames
+#: pages, m: marked, a: marked as advert or comments; then +: main text.
+PAGES = """
+1/100n 1/100n 1/100n 8/0a 9/0h+ 12/0+ 45/0+ 2/0+ 80/0+ 1/0+ 130/0+ 11/0n
+1/100n 2/100n 5/0a 7/0h+ 3/0+ 12/0n
+3/100n 12/0a 10/0h+ 8/0+ 6/0+ 25/0+ 1/0+ 9/0n
+1/100 2/100 1/100 9/0h+ 25/0+ 60/5+ 4/0h+ 90/2+ 2/100 3/100 1/100 8/0
+2/100 2/100 6/0 2/100 1/100 11/0h+ 35/0+ 18/10+ 70/0+ 5/60 6/100 3/100
+1/100 1/100 7/0 12/0h+ 50/0+ 3/0+ 22/0+ 64/0+
+3/100 4/0 8/0h+ 9/0+ 40/0+
+1/100 10/0 6/0h+ 30/0+
+2/100 30/0+ 55/0+ 20/0+
+5/0h+ 30/0+ 20/0+ 1/0+ 4/0+ 16/0+
+4/0+
+40/0+
+1/0+ 1/0+ 2/0+ 1/0+
+6/0h+ 50/10+ 3/100+ 45/5+ 20/30+ 33/0+
+60/0+ 5/100+ 80/0+ 2/100+ 30/0+
+40/0+ 6/100 7/100 5/100 8/100 3/0n
+30/0+ 8/40+ 9/50+ 7/30+ 40/0+
+20/0+ 4/0+ 3/0+ 5/0+ 2/0+ 25/0+ 7/0+
+30/0+ 2/0f 3/0f 1/0f 12/0f 5/0n
+1/100f 2/100f 8/0hf+ 45/0f+ 60/5f+ 30/0f+ 2/0f 3/0f
+25/0f+ 40/0f+ 28/0f+
+60/0+ 25/0n 30/0n 20/20n 70/0+ 3/0hn 15/0n
+40/0+ 30/0n 5/100n 45/0n 12/0n
+8/0hn 1/100n 22/0m 9/0h+ 60/0+
+3/0hm 12/100m 14/100m 10/100m 18/20m
+5/0m 50/0m+ 45/0m+ 60/0m+ 3/0m
+30/0+ 18/0m 2/0m 4/0m 35/0m
+1/100m 1/100m 6/0m 26/0+ 30/0+
+80/0+ 40/0a 55/0a 3/0a 30/0a 90/0a 12/0n
+50/0+ 15/0a 60/0+ 2/0ha 45/10a 20/0a
 """
+DEPTH = 12
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -233,12 +84,30 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|$|/)|aria-hidden\s*=\s*["']?true|
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def table() -> list[tuple[list[float], int]]:
-    rows = [[float(x) for x in line.split()] for line in TABLE.strip().splitlines()]
-    return [(r[:-1], int(r[-1])) for r in rows]
+def figures(blocks: list[tuple]) -> list[list[float]]:
+    """Figures of a page's blocks (words, link share, heading, frame, mark) with those of their neighbours."""
+    out = []
+    for i, (words, linked, heading, frame, mark) in enumerate(blocks):
+        before = blocks[i - 1][:2] if i else (0, 0.0)
+        after = blocks[i + 1][:2] if i + 1 < len(blocks) else (0, 0.0)
+        out.append([words, linked, *before, *after, heading, frame, mark])
+    return out
 
 
-def grow(rows: list[tuple[list[float], int]], depth: int = 12):
+def table() -> list[tuple[list[float], int]]:
+    """The labelled figures of PAGES."""
+    rows = []
+    for page in PAGES.strip().splitlines():
+        blocks, labels = [], []
+        for block in page.split():
+            words, percent, hints = re.fullmatch(r"(\d+)/(\d+)(\S*)", block).groups()
+            blocks.append((int(words), int(percent) / 100, int("h" in hints), 2 * ("n" in hints) + ("f" in hints), 2 * ("a" in hints) + ("m" in hints)))
+            labels.append(int("+" in hints))
+        rows += zip(figures(blocks), labels, strict=True)
+    return rows
+
+
+def grow(rows: list[tuple[list[float], int]], depth: int = DEPTH):
     """A tree of (feature, limit, tree up to the limit, tree above it), with labels as leaves, by least Gini impurity."""
     ones = sum(y for _, y in rows)
     if not depth or ones in (0, len(rows)):
@@ -269,41 +138,51 @@ def _marks(attributes: str) -> set[str]:
 
 
 class _Reader:
-    """The blocks of a page: [text, words, link words, in an article, marked, heading]."""
+    """The blocks of a page: their texts, and (words, link share, heading, frame, mark)."""
 
     def __init__(self):
-        self.blocks: list[list] = []
+        self.texts: list[str] = []
+        self.blocks: list[tuple] = []
         self.parts: list[str] = []
         self.links: list[bool] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, marked, article
-        self.in_link, self.boiler, self.article, self.heading = False, 0, 0, False
-        self.has_article = False
+        self.open: list[tuple[str, tuple[int, int], int, int]] = []  # name, (form, frame), mark, article
+        self.frames, self.marks, self.article = [0, 0], [0, 0, 0], 0
+        self.in_link = self.heading = False
 
     def close_block(self):
         text = " ".join("".join(self.parts).split())
         if text:
             n = len(text.split())
             linked = sum(len(p.split()) for p, a in zip(self.parts, self.links, strict=True) if a)
-            self.blocks.append([text, n, min(1.0, linked / n), self.article > 0, self.boiler > 0, self.heading])
+            frame, mark = 2 if self.frames[1] else 1 if self.frames[0] else 0, 2 if self.marks[2] else 1 if self.marks[1] else 0
+            self.texts.append(text)
+            self.blocks.append((n, min(1.0, linked / n), int(self.heading), frame, mark))
         self.parts, self.links = [], []
 
     def push(self, name: str, attributes: str):
-        marked = name in BOILER and not (name == "header" and self.article)
+        frame = (int(name in FORMS), int(name in FRAMES and not (name == "header" and self.article)))
+        mark = 0
         if name not in ("html", "body", "main") and name not in HEADINGS and attributes:
             marks = _marks(attributes)
-            marked |= bool(marks & (COMMENT_MARKS if name == "article" else MARKS)) or bool(_HIDDEN.search(attributes))
-        article = name in ("article", "main") and not marked and not self.boiler
-        self.has_article |= article
-        self.open.append((name, marked, article))
-        self.boiler += marked
-        self.article += article
+            if marks & STRONG_MARKS or _HIDDEN.search(attributes):
+                mark = 2
+            elif name != "article" and not self.article and marks & MARKS:
+                mark = 1
+        article = int(name in ("article", "main") and not mark)
+        self.open.append((name, frame, mark, article))
+        self._count(frame, mark, article, 1)
+
+    def _count(self, frame: tuple[int, int], mark: int, article: int, by: int):
+        self.frames[0] += by * frame[0]
+        self.frames[1] += by * frame[1]
+        self.marks[mark] += by
+        self.article += by * article
 
     def pop(self, name: str):
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == name:
-                for _, marked, article in self.open[at:]:
-                    self.boiler -= marked
-                    self.article -= article
+                for _, frame, mark, article in self.open[at:]:
+                    self._count(frame, mark, article, -1)
                 del self.open[at:]
                 return
 
@@ -320,7 +199,7 @@ class _Reader:
         elif name == "br":
             self.text(" ")
         if name not in VOID and (name in BLOCK or (attributes and name in ("span", "b", "i", "em", "strong", "a", "small", "ins", "del", "font", "u", "time", "cite"))):
-            if name in BLOCK or _marks(attributes) & MARKS or _HIDDEN.search(attributes):
+            if name in BLOCK or _marks(attributes) & STRONG_MARKS or _HIDDEN.search(attributes):
                 if name not in BLOCK:
                     self.close_block()
                 self.push(name, attributes)
@@ -333,7 +212,7 @@ class _Reader:
             self.pop(name)
             if name in HEADINGS:
                 self.heading = False
-        elif any(n == name for n, _, _ in self.open):
+        elif any(o[0] == name for o in self.open):
             self.close_block()
             self.pop(name)
 
@@ -367,19 +246,9 @@ def read(page: str) -> _Reader:
     return reader
 
 
-def features(reader: _Reader) -> list[list[float]]:
-    blocks, out = reader.blocks, []
-    for i, (_, n, linked, article, marked, heading) in enumerate(blocks):
-        before = blocks[i - 1][1:3] if i else (0, 0.0)
-        after = blocks[i + 1][1:3] if i + 1 < len(blocks) else (0, 0.0)
-        zone = -2 if marked else 1 if article else -1 if reader.has_article else 0
-        out.append([n, linked, *before, *after, zone, int(heading)])
-    return out
-
-
 def main_text(page: str | None, tree) -> str:
     reader = read(page or "")
-    return "\n\n".join(b[0] for b, x in zip(reader.blocks, features(reader), strict=True) if decide(tree, x))
+    return "\n\n".join(t for t, x in zip(reader.texts, figures(reader.blocks), strict=True) if decide(tree, x))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
