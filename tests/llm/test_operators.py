@@ -529,6 +529,10 @@ def test_lm_gradients():
     h = rng.normal(0, 0.5, (3, lm_scoring.HIDDEN))
     total = lambda: -lm_scoring.train_segment(w, v, x, y, h)[2] * 14
     grads, _, _ = lm_scoring.train_segment(w, v, x, y, h)
+    rows, found = grads["E"]
+    grads["E"] = np.zeros_like(w["E"])
+    grads["E"][rows] = found
+    assert set(grads) == set(w)
     for name, g in grads.items():
         for _ in range(4):
             at = tuple(rng.integers(0, s) for s in w[name].shape)
@@ -559,8 +563,8 @@ def test_lm_trains_on_every_token(spark):
     common.small_batches(spark)
     counts = lm_scoring.count_tokens(df.select("text")).toPandas()
     v = lm_scoring.Vocabulary(counts["h"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64), int(counts["n"].sum()), len(counts))
-    got = [(r["doc_id"], np.frombuffer(r["ids"], np.int16), r["windows"]) for r in lm_scoring.numbered(df, v).collect()]
-    assert sorted(((d, len(i), n) for d, i, n in got), key=repr) == sorted(((d, len(words(t)) + 1, (len(words(t)) + 32) // 32) for d, t in rows), key=repr)
+    got = [(r["doc_id"], np.frombuffer(r["ids"], np.int16), r["n_tokens"]) for r in lm_scoring.numbered(df.withColumn("held_out", F.lit(False)), v).collect()]
+    assert sorted(((d, len(i), n) for d, i, n in got), key=repr) == sorted(((d, len(words(t)) + 1, len(words(t)) + 1) for d, t in rows), key=repr)
     assert Counter(v.lookup[np.concatenate([i for _, i, _ in got]) - 1].tolist()) == dict(zip(v.lookup.tolist(), v.counts.tolist()))
     assert lm_scoring.train_documents(lm_scoring.initial(v), v, [i for _, i, _ in got], lanes=2) == v.total
 

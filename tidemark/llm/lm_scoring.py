@@ -4,15 +4,18 @@ Counts of all training tokens are aggregated as 64-bit word hashes. The VOCABULA
 word are the model's outputs, in CLASSES classes of about equal mass; an unknown word's probability is the model's for
 the unknown word times its smoothed share among such words, so that every text has a probability.
 
-Training: every token of each training document. Documents are dealt to trainers by hash; each streams its documents
-through LANES lanes, WINDOW tokens of each at a time, in truncated backpropagation over segments of SEGMENT tokens. The
-state is carried from segment to segment and from window to window until the document ends. ROUNDS times all trainers'
-weights are averaged by their tokens. Scoring carries the state through whole documents in the same way. Frequent counts go to executors in a table of bounded size; rarer
-words of a document are joined with the counts by a shuffle.
+Training: every token of each training document, once. Documents are dealt by hash to as many trainers as the tokens
+need, and to ROUNDS; after each round all trainers' weights are averaged by their tokens, level by level, and the next
+round starts from there. A trainer streams its documents through LANES lanes, WINDOW tokens of each at a time, in
+truncated backpropagation over segments of SEGMENT tokens. The state is carried from segment to segment and from window
+to window until the document ends. Scoring carries the state through whole documents in the same way. Frequent counts go
+to executors in a table of bounded size; rarer words of a document are joined with the counts by a shuffle.
 
 Training documents: crc32(doc_id as text) mod 7 is not 2; a null doc_id is trained on and isn't held out. Null or empty
 text: the end token alone. Rows that repeat are trained on and scored each. Without training tokens base_score is 0 for
-N = V = 0 (log10 1) and the model is untrained. An empty table gives an empty result.
+N = V = 0 (log10 1) and the model is untrained. Words of one count: the lower hash goes first into the vocabulary. A long
+text is read in parts and costs memory for its own tokens alone. An empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from .textops import mix, slices, utf8, word_hashes
 
 VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
 WINDOW, SEGMENT, LANES, ROUNDS, RATE = 32, 16, 128, 2, 0.08
-#: Windows of a trainer at least, and trainers at most; each streams its documents.
-TRAINER, TRAINERS = 6000, 1024
+#: Tokens of a trainer, of all rounds together, and weights that are averaged at once.
+TRAINER, FAN = 2_000_000, 64
 #: Words whose counts every executor holds; about 10 MB.
 LOOKUP = 262_144
 #: Tokens that are scored together, in up to SCORE_LANES lanes.
@@ -174,83 +177,120 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def outputs(hidden: np.ndarray, y: np.ndarray, w: dict, v: Vocabulary, grads: dict | None = None):
     """Natural log probabilities of y, and with grads their gradient by hidden, added up in grads."""
-    kind = v.kind[y]
-    logc = _log_softmax(hidden @ w["Wc"] + w["bc"])
-    rows = np.arange(len(y))
-    out = logc[rows, kind].astype(np.float64)
+    order = np.argsort(y, kind="stable")  # classes are ranges of numbers, so each one's tokens come together
+    hidden, y = hidden[order], y[order]
+    rows, kind = np.arange(len(y)), v.kind[y]
+    log = hidden @ w["Wc"]
+    log += w["bc"]
+    log -= log.max(axis=1, keepdims=True)
+    p = np.exp(log)
+    total = p.sum(axis=1)
+    found = log[rows, kind].astype(np.float64) - np.log(total)
     back = None
     if grads is not None:
-        d = np.exp(logc)
-        d[rows, kind] -= 1.0
-        grads["Wc"] += hidden.T @ d
-        grads["bc"] += d.sum(axis=0)
-        back = d @ w["Wc"].T
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(len(v.cuts)))
-    for c in range(len(v.cuts) - 1):
-        a, b = v.cuts[c], v.cuts[c + 1]
-        own = order[bounds[c] : bounds[c + 1]]
-        if b - a < 2 or not len(own):
-            continue
-        h = hidden[own]
-        logw = _log_softmax(h @ w["Wo"][a:b].T + w["bo"][a:b])
-        inside = np.arange(len(own)), y[own] - a
-        out[own] += logw[inside]
+        p /= total[:, None]
+        p[rows, kind] -= 1.0
+        grads["Wc"] += hidden.T @ p
+        grads["bc"] += p.sum(axis=0)
+        back = p @ w["Wc"].T
+    bounds = np.searchsorted(y, v.cuts)
+    for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(v.cuts) > 1)).tolist():
+        a, b, first, last = v.cuts[c], v.cuts[c + 1], bounds[c], bounds[c + 1]
+        h, inside = hidden[first:last], (rows[: last - first], y[first:last] - a)
+        log = h @ w["Wo"][a:b].T
+        log += w["bo"][a:b]
+        log -= log.max(axis=1, keepdims=True)
+        p = np.exp(log)
+        total = p.sum(axis=1)
+        found[first:last] += log[inside] - np.log(total)
         if grads is not None:
-            d = np.exp(logw)
-            d[inside] -= 1.0
-            grads["Wo"][a:b] += d.T @ h
-            grads["bo"][a:b] += d.sum(axis=0)
-            back[own] += d @ w["Wo"][a:b]
+            p /= total[:, None]
+            p[inside] -= 1.0
+            grads["Wo"][a:b] += p.T @ h
+            grads["bo"][a:b] += p.sum(axis=0)
+            back[first:last] += p @ w["Wo"][a:b]
+    out = np.empty_like(found)
+    out[order] = found
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
     return out, back
 
 
 def train_segment(w: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of one segment (time, lanes) from state h, the last state, and the mean log probability; y below 0 is no token."""
+    """Gradients of one segment (time, lanes) from state h, the last state, and the mean log probability; y below 0 is no token.
+
+    The gradient of E is (its rows that occur, their gradients).
+    """
     steps, lanes = x.shape
     n = HIDDEN
     embedded = w["E"][x]
-    gx = embedded @ w["Wx"] + w["b"]
-    hs, zs, rs, ns, us = [h], [], [], [], []
+    gx = embedded @ w["Wx"]
+    gx += w["b"]
+    kind = gx.dtype
+    hs, zr, new, us = np.empty((steps + 1, lanes, n), kind), np.empty((steps, lanes, 2 * n), kind), np.empty((steps, lanes, n), kind), np.empty((steps, lanes, 3 * n), kind)
+    hs[0] = h
     for t in range(steps):
-        u = hs[-1] @ w["U"]
-        zr = _sigmoid(gx[t, :, : 2 * n] + u[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(gx[t, :, 2 * n :] + r * u[:, 2 * n :])
-        hs.append(new + z * (hs[-1] - new))
-        zs.append(z), rs.append(r), ns.append(new), us.append(u[:, 2 * n :])
-    grads = {k: np.zeros_like(a) for k, a in w.items()}
-    hidden, flat = np.stack(hs[1:]).reshape(-1, n), y.ravel()
+        u, gate, fresh = np.matmul(hs[t], w["U"], out=us[t]), zr[t], new[t]
+        _sigmoid(np.add(gx[t, :, : 2 * n], u[:, : 2 * n], out=gate))
+        np.multiply(gate[:, n:], u[:, 2 * n :], out=fresh)
+        fresh += gx[t, :, 2 * n :]
+        np.tanh(fresh, out=fresh)
+        np.subtract(hs[t], fresh, out=hs[t + 1])
+        hs[t + 1] *= gate[:, :n]
+        hs[t + 1] += fresh
+    grads = {k: np.zeros_like(a) for k, a in w.items() if k in ("Wc", "bc", "Wo", "bo")}
+    hidden, flat = hs[1:].reshape(-1, n), y.ravel()
     valid = np.flatnonzero(flat >= 0)
-    logp, back = outputs(hidden[valid], flat[valid], w, v, grads)
-    dh_out = np.zeros_like(hidden)
-    dh_out[valid] = back
+    every = len(valid) == len(flat)
+    logp, back = outputs(hidden if every else hidden[valid], flat if every else flat[valid], w, v, grads)
+    if every:
+        dh_out = back
+    else:
+        dh_out = np.zeros_like(hidden)
+        dh_out[valid] = back
     dh_out = dh_out.reshape(steps, lanes, n)
-    dgx, dh = np.empty_like(gx), np.zeros_like(h)
+    z, r, before = zr[:, :, :n], zr[:, :, n:], hs[:-1]
+    # What a step multiplies the gradient of its state with, for all steps at once.
+    by_new = (1 - z) * (1 - new * new)
+    by_z = (before - new) * z * (1 - z)
+    by_r = us[:, :, 2 * n :] * r * (1 - r)
+    dgx, du, dh, back_u = np.empty_like(gx), np.empty_like(gx), np.zeros_like(hs[0]), np.ascontiguousarray(w["U"].T)
     for t in range(steps - 1, -1, -1):
-        dh = dh + dh_out[t]
-        z, r, new, before = zs[t], rs[t], ns[t], hs[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * us[t] * r * (1 - r)
-        dgx[t] = np.concatenate([dz, dr, dnew], axis=1)
-        du = np.concatenate([dz, dr, dnew * r], axis=1)
-        grads["U"] += before.T @ du
-        dh = dh * z + du @ w["U"].T
-    flat_g = dgx.reshape(-1, 3 * n)
-    grads["b"] += flat_g.sum(axis=0)
-    grads["Wx"] += embedded.reshape(-1, EMBED).T @ flat_g
-    np.add.at(grads["E"], x.ravel(), flat_g @ w["Wx"].T)
+        dh += dh_out[t]
+        d, e = dgx[t], du[t]
+        dnew = np.multiply(dh, by_new[t], out=d[:, 2 * n :])
+        np.multiply(dh, by_z[t], out=d[:, :n])
+        np.multiply(dnew, by_r[t], out=d[:, n : 2 * n])
+        e[:, : 2 * n] = d[:, : 2 * n]
+        np.multiply(dnew, r[t], out=e[:, 2 * n :])
+        dh *= z[t]
+        dh += e @ back_u
+    flat_g, flat_x = dgx.reshape(-1, 3 * n), x.ravel()
+    grads["U"] = before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+    grads["b"] = flat_g.sum(axis=0)
+    grads["Wx"] = embedded.reshape(-1, EMBED).T @ flat_g
+    order = np.argsort(flat_x, kind="stable")
+    ordered = flat_x[order]
+    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    grads["E"] = ordered[heads], np.add.reduceat((flat_g @ w["Wx"].T)[order], heads, axis=0)
     return grads, hs[-1], float(logp.sum() / max(1, len(valid)))
 
 
+def _step(w: np.ndarray, squares: np.ndarray, g: np.ndarray, n: int, at=slice(None)) -> None:
+    """Adagrad on rows ``at`` with the clipped mean of n tokens' gradients."""
+    g /= n
+    np.clip(g, -1.0, 1.0, out=g)
+    grown = squares[at] + g * g
+    squares[at] = grown
+    g *= RATE
+    g /= np.sqrt(grown, out=grown)
+    w[at] -= g
+
+
 def train_documents(w: dict, v: Vocabulary, docs, lanes: int = LANES) -> int:
     """Adagrad over all output numbers of each document, in place; the number of tokens. A lane that ends a document takes the next one."""
     squares, seen = {k: np.full_like(a, 1e-6) for k, a in w.items()}, 0
@@ -262,7 +302,7 @@ def train_documents(w: dict, v: Vocabulary, docs, lanes: int = LANES) -> int:
         if not held:
             return seen
         h = np.concatenate([h[going], np.zeros((len(fresh), HIDDEN), np.float32)])
-        y = np.full((len(held), WINDOW), -1, np.int64)
+        y = np.full((len(held), WINDOW), -1, np.int16)
         for row, (d, at) in zip(y, held, strict=True):
             part = d[at : at + WINDOW]
             row[: len(part)] = part
@@ -276,11 +316,10 @@ def train_documents(w: dict, v: Vocabulary, docs, lanes: int = LANES) -> int:
             if not n:
                 break
             grads, h, _ = train_segment(w, v, x[t : t + SEGMENT], part, h)
+            rows, g = grads.pop("E")
+            _step(w["E"], squares["E"], g, n, rows)
             for k, g in grads.items():
-                g /= n
-                np.clip(g, -1.0, 1.0, out=g)
-                squares[k] += g * g
-                w[k] -= RATE * g / np.sqrt(squares[k])
+                _step(w[k], squares[k], g, n)
             seen += n
 
 
@@ -344,64 +383,117 @@ def score_streams(w: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = S
     return out
 
 
-def numbered(train: DataFrame, v: Vocabulary) -> DataFrame:
-    """(doc_id, key, windows, ids) of (doc_id, text): all tokens of each training document as 16-bit output numbers."""
-    sent = train.sparkSession.sparkContext.broadcast(v.lookup[: v.size - 1])
-    names = ["doc_id", "key", "windows", "ids"]
+def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Rows (doc_id, text, held_out) with their tokens' 16-bit output numbers (ids), what the lookup tells, and the words beyond it.
+
+    row: a number of the row; key: hash of the text's ends and length; known and base: tokens of the lookup and the sum of
+    log10(c + 1) of them; unknown and inside: tokens that are the model's unknown word, and that sum of them; rare and
+    times: hashes of words beyond the lookup, with how often each occurs.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    names = ["row", "doc_id", "held_out", "key", "n_tokens", "known", "base", "unknown", "inside", "rare", "times", "ids"]
+    kinds = "row long, doc_id long, held_out boolean, key long, n_tokens long, known long, base double, unknown long, inside double, rare array<long>, times array<int>, ids binary"
 
     def run(batches):
-        table = Table(sent.value)
+        v = sent.value
+        table, logs = Table(v.lookup), np.log10(v.counts + 1.0)
+        part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, starts = utf8(batch.column(1))
             for first, last in slices(starts):
                 found, begin = tokens(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
-                count = np.diff(begin)
-                # Hash of a text's own first and last words and its length: which trainer, with the id.
-                key = mix(found[begin[:-1]] ^ mix(found[np.maximum(begin[1:] - 2, begin[:-1])]) ^ count.astype(np.uint64))
-                ids = v.numbers(table.find(found)).astype(np.int16)
-                own = pa.array([ids[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(key.view(np.int64)), pa.array(-(-count // WINDOW)), own], names)
-
-    return train.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, windows long, ids binary")
+                cuts, n, size = begin[:-1], np.diff(begin), last - first
+                key = mix(found[cuts] ^ mix(found[np.maximum(begin[1:] - 2, cuts)]) ^ n.astype(np.uint64))
+                at = table.find(found)
+                value = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))
+                number = v.numbers(at).astype(np.int16)
+                known, base = np.add.reduceat((at >= 0).astype(np.int64), cuts), np.add.reduceat(value, cuts)
+                unknown, inside = np.add.reduceat((number == 0).astype(np.int64), cuts), np.add.reduceat(np.where(number == 0, value, 0.0), cuts)
+                # Words beyond the lookup, counted by text.
+                rare = np.flatnonzero(at < 0)
+                whose, words = np.searchsorted(begin, rare, "right") - 1, found[rare]
+                order = np.lexsort((words, whose))
+                whose, words = whose[order], words[order]
+                head = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (words[1:] != words[:-1])))) if len(words) else order
+                times = np.diff(np.append(head, len(words)))
+                offsets = pa.array(np.searchsorted(whose[head], np.arange(size + 1)).astype(np.int32))
+                own = pa.array([number[i:j].tobytes() for i, j in zip(cuts, begin[1:], strict=True)], pa.binary())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (words[head].view(np.int64), times.astype(np.int32))]
+                columns = [pa.array(np.arange(serial, serial + size) + (part << 40)), batch.column(0).slice(first, size), batch.column(2).slice(first, size)]
+                columns += [pa.array(c) for c in (key.view(np.int64), n, known, base, unknown, inside)] + [*lists, own]
+                serial += size
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, kinds)
 
 
 def train_model(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights after rounds of trainers over all numbered documents, averaged by tokens in two steps."""
-    total = docs.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    parts = max(1, min(TRAINERS, total // TRAINER))
-    groups = max(1, math.isqrt(parts))
-    flat = pack(initial(v))
-    # The id too, so that copies of one text are spread.
-    dealt = docs.withColumn("trainer", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).cast("int")).select("trainer", "key", "doc_id", "ids")
-    for round_ in range(rounds if total else 0):
-        sent = docs.sparkSession.sparkContext.broadcast(flat)
-
-        def fit(keys, batches, sent=sent, round_=round_):
-            w = unpack(sent.value, v)
-
-            n = train_documents(w, v, (np.frombuffer(ids, np.int16) for pdf in batches for ids in pdf["ids"]))
-            yield pd.DataFrame({"trainer": [keys[0]], "n": [n], "weights": [pack(w).tobytes()]})
+    """Weights after one pass over all tokens of the numbered documents: a part of them a round, averaged after each."""
+    total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    if not total:
+        return initial(v)
+    parts = -(-total // TRAINER)
+    flat, spark = pack(initial(v)), docs.sparkSession
+    # By content, so that a rerun learns the same; rows without id by their place too, so that copies are spread.
+    place = F.xxhash64("key", "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    dealt = docs.select(F.pmod(place, F.lit(parts)).cast("int").alias("trainer"), F.pmod(F.xxhash64(place), F.lit(rounds)).alias("round"), "key", "doc_id", "ids")
+    for round_ in range(rounds):
+        sent = spark.sparkContext.broadcast(flat)
+
+        def fit(batches, sent=sent):
+            """A task's trainers, one after the other, and their average."""
+            summed, seen = np.zeros(len(sent.value)), 0
+            rows = ((t, i) for pdf in batches for t, i in zip(pdf["trainer"], pdf["ids"], strict=True))
+            for _, own in groupby(rows, key=lambda r: r[0]):
+                w = unpack(sent.value, v)
+                n = train_documents(w, v, (np.frombuffer(i, np.int16) for _, i in own))
+                summed += pack(w).astype(np.float64) * n
+                seen += n
+            if seen:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [seen], "weights": [(summed / seen).astype(np.float32).tobytes()]})
 
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("trainer")
+            pdf = pdf.sort_values("part")
             stacked = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(pdf["weights"], pdf["n"], strict=True))
-            return pd.DataFrame({"trainer": [int(pdf["trainer"].min())], "n": [int(pdf["n"].sum())], "weights": [(stacked / max(1, pdf["n"].sum())).astype(np.float32).tobytes()]})
-
-        own = _trained(dealt, fit)
-        some = own.groupBy(F.pmod("trainer", F.lit(groups)).alias("g")).applyInPandas(average, "trainer int, n long, weights binary").toPandas()
-        flat = np.frombuffer(average(some)["weights"].iloc[0], np.float32)
+            return pd.DataFrame({"part": [int(pdf["part"].min())], "n": [int(pdf["n"].sum())], "weights": [(stacked / pdf["n"].sum()).astype(np.float32).tobytes()]})
+
+        kinds = "part int, n long, weights binary"
+        own = dealt.filter(F.col("round") == round_).repartition(parts, "trainer").sortWithinPartitions("trainer", "key", "doc_id", "ids").mapInPandas(fit, kinds)
+        left = parts
+        while left > FAN:  # a level of averages at a time, so that no task and not the driver gets more than some FAN weights
+            left = -(-left // FAN)
+            own = own.groupBy(F.pmod("part", F.lit(left)).cast("int").alias("g")).applyInPandas(average, kinds)
+        got = own.toPandas()
+        if len(got):
+            flat = np.frombuffer(average(got)["weights"].iloc[0], np.float32)
     return unpack(flat, v)
 
 
-def _trained(dealt: DataFrame, fit) -> DataFrame:
-    """Each trainer's documents, in one order, streamed through fit."""
+def modelled(first: DataFrame, v: Vocabulary, model: dict[str, np.ndarray]) -> DataFrame:
+    """Numbered rows, without ids, with model: the log10 probability of their output numbers."""
+    sent = first.sparkSession.sparkContext.broadcast((v, pack(model)))
+    keep = [c for c in first.columns if c not in ("ids", "key")]
+    out = first.select(*keep).schema.add("model", "double")
 
     def run(batches):
-        parts = (kp for pdf in batches for kp in pdf.groupby("trainer", sort=True))
-        for key, own in groupby(parts, key=lambda kp: kp[0]):
-            yield from fit((key,), (part for _, part in own))
+        v, flat = sent.value
+        w = unpack(flat, v)
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            logp = score_streams(w, v, [np.frombuffer(x, np.int16) for x in rows.column(len(keep)).to_pylist()]) / math.log(10)
+            yield from pa.Table.from_arrays([*rows.columns[: len(keep)], pa.array(logp)], [*keep, "model"]).to_batches()
 
-    return dealt.repartition("trainer").sortWithinPartitions("trainer", "key", "doc_id", "ids").mapInPandas(run, "trainer int, n long, weights binary")
+        for batch in batches:
+            held.append(batch)
+            if sum(sum(b.column(keep.index("n_tokens")).to_pylist()) for b in held) > SCORE_TOKENS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return first.select(*keep, "ids").mapInArrow(run, out)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -411,73 +503,22 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def _scored(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    train = d.filter(~F.col("held_out")).select("doc_id", "text")
-    counts = materialise(count_tokens(train.select("text")), "lm-counts")
+    counts = materialise(count_tokens(d.filter(~F.col("held_out")).select("text")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(50_000).toPandas()
     fits = levels[levels["words"].cumsum() <= LOOKUP]
     least = int(fits["n"].min()) if len(fits) else 1 << 62
     frequent = counts.filter(F.col("n") >= least).toPandas()
     v = Vocabulary(frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), int(total), int(distinct))
-    model = train_model(materialise(numbered(train, v), "lm-numbered"), v)
-    sent = context.broadcast((v, pack(model)))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, unknown long, rare array<long>, times array<int>"
-
-    def run(batches):
-        v, flat = sent.value
-        w, table = unpack(flat, v), Table(v.lookup)
-        logs = np.log10(v.counts + 1.0)
-        part, serial = TaskContext.get().partitionId(), 0
-        rows: list[list] = [[] for _ in range(9)]
-        streams: list[np.ndarray] = []
-
-        def flush():
-            nonlocal serial
-            logp = score_streams(w, v, streams) / math.log(10)
-            numbers = np.arange(serial, serial + len(streams)) + (part << 40)
-            serial += len(streams)
-            ids, held, n, known, base, unknown, inside, rare, times = rows
-            out = [pa.array(numbers), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64())]
-            out += [pa.array(logp + np.array(inside, float)), pa.array(unknown, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-            for r in rows:
-                r.clear()
-            streams.clear()
-            return pa.RecordBatch.from_arrays(out, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "unknown", "rare", "times"])
-
-        for batch in batches:
-            data, starts = utf8(batch.column(1))
-            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, last in slices(starts):
-                found, begin = tokens(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
-                at = table.find(found)
-                value = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(at))
-                number = v.numbers(at).astype(np.int32)
-                rare = at < 0
-                cuts = begin[:-1]
-                n = np.diff(begin)
-                base, known = np.add.reduceat(value, cuts), np.add.reduceat((at >= 0).astype(np.int64), cuts)
-                unknown, inside = np.add.reduceat((number == 0).astype(np.int64), cuts), np.add.reduceat(np.where(number == 0, value, 0.0), cuts)
-                for i in range(last - first):
-                    own = slice(begin[i], begin[i + 1])
-                    words, times = np.unique(found[own][rare[own]], return_counts=True)
-                    row = ids[first + i], held[first + i], n[i], known[i], base[i], unknown[i], inside[i], words.view(np.int64), times.astype(np.int32)
-                    for column, x in zip(rows, row, strict=True):
-                        column.append(x)
-                    streams.append(number[own])
-                if sum(map(len, streams)) > SCORE_TOKENS:
-                    yield flush()
-        if streams:
-            yield flush()
-
-    first = materialise(d.select("doc_id", "text", "held_out").mapInArrow(run, schema), "lm-first")
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
+    first = materialise(numbered(d, v), "lm-numbered")
+    second = materialise(modelled(first, v, train_model(first.filter(~F.col("held_out")), v)), "lm-scored")
+    rare = second.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
     joined = rare.join(counts.filter(F.col("n") < least), "h", "left")
     logs = F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0))
     tail = joined.groupBy("row").agg(logs.alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    out = first.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "unknown").join(tail, "row", "left")
+    out = second.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "unknown", "inside", "model").join(tail, "row", "left")
     logs, also = F.coalesce("logs", F.lit(0.0)), F.coalesce("also", F.lit(0))
     return out.select(
         "doc_id",
@@ -486,5 +527,5 @@ def _scored(docs: DataFrame) -> DataFrame:
         (F.col("known") + also).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (F.col("model") + logs - F.col("unknown") * math.log10(v.rest)).alias("score"),
+        (F.col("model") + F.col("inside") + logs - F.col("unknown") * math.log10(v.rest)).alias("score"),
     )
