@@ -22,9 +22,9 @@ from .common import document_keys
 SPACE = r"[\x20\x09-\x0D]+"
 SHINGLE, FRACTION = 5, 1 / 4
 #: Rows of a bucket of the order of doc_id, which a window holds in memory, and the most quantiles that part them.
-BUCKET_ROWS, BUCKETS = 3000, 1000
+BUCKET_ROWS, BUCKETS = 300, 1000
 #: Tables of a row of 24 bytes a bucket, or a hot id, go to all executors up to this many rows, beyond by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 BLOCK = 1000
 FIRST = 1 - (1 << 63)  # key of a null doc_id
 
