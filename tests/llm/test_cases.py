@@ -2,16 +2,19 @@
 
 import hashlib
 import html
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, fingerprints, html_extraction, language_id, minhash_dedup, suffix_dedup, textops
+from tidemark.llm import common, fingerprints, html_extraction, language_id, minhash_dedup, pii, suffix_dedup, textops
 
 CLASHING = [(None, "m" * 400), (None, "q" * 130 + "m" * 200), (None, "x"), (None, "m" * 400), (7, "m" * 120), (7, "other"), (7, "zz" + "m" * 150), (3, None), (3, ""), (5, "q" * 140)]
 
@@ -224,6 +227,63 @@ def test_fingerprints_of_hot_copies_without_other_texts(spark, monkeypatch):
     check_fingerprints(spark, rows, fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+# 6 -----------------------------------------------------------------------------------------------------------------
+
+
+def disclosing(rows, threshold=0.9, level=0.05):
+    """(value, term) pairs by counting, from short texts with at most one email each."""
+    email = re.compile(r"[\w.]+@[\w.]+\w")
+    word = lambda t: set(regex.findall(r"[\p{L}\p{N}]+", t.lower()))
+    texts = [t or "" for _, t in rows]
+    n_t, n_c, n_tc, contexts, tested = Counter(), Counter(), Counter(), {}, 0
+    for t in texts:
+        n_t.update(word(t))
+        if found := email.search(t):
+            c, left = found.group().lower(), t[: found.start()] + " " + t[found.end() :]
+            terms = word(left) & word(t)
+            tested += len(terms)
+            n_c[c] += 1
+            for x in terms | {None}:
+                n_tc[c, x] += 1
+                contexts.setdefault((c, x), set()).add(left)
+    n, out = len(texts), set()
+    for (c, x), own in contexts.items():
+        if x is not None:
+            d, k, b = len(contexts[c, None]), len(own), n_t[x] / n
+            a = k / d
+            divergence = a * math.log(a / b) + ((1 - a) * math.log((1 - a) / (1 - b)) if a < 1 else 0)
+            ic, pmi = math.log2(n / n_c[c]), math.log2(n_tc[c, x] * n / (n_t[x] * n_c[c]))
+            if a > b and ic > 0 and pmi >= threshold * ic and math.log(max(1, tested)) - d * divergence <= math.log(level):
+                out.add(("email:" + c, x))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_disclosing_terms_recomputed(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(pii, "BROADCAST_DOCS", broadcast)
+    random.seed(12)
+    names, rows = ["Zorbulon", "Quibble", "Ärger", "smith.x"], []
+    for i in range(500):
+        k = random.randrange(40)
+        said = " ".join(random.choice(["call", "write", "soon", "day", f"n{random.randrange(60)}"]) for _ in range(5))
+        mail = f" mail {'abcd'[k]}@x{k}.org" if k < 4 and random.random() < 0.7 else ""
+        rows.append((None if i % 50 == 7 else i % 450, f"{said} {names[k] if k < 4 else 'who'}{mail}" if i % 41 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"sign": F.lit("x"), "__pii_text": F.lit(1), "base": F.lit(2), "a.b": F.lit(3)})
+    want = disclosing(rows)
+    assert want and {(r["entity"], r["term"]) for r in pii.disclosing_terms(df).collect()} == want
+    terms = {t for _, t in want}
+    spans = lambda t: [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", t or "") if m.group().lower() in terms]
+    got = pii.personal_data(df).collect()
+    added = sorted((r["doc_id"] or -1, sorted(tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("term"))) for r in got)
+    assert added == sorted((d or -1, spans(t)) for d, t in rows)
+    clean = pii.sanitised(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        assert r["text"] is None or not (terms & set(regex.findall(r"[\p{L}\p{N}]+", r["text"].lower()))) and "@" not in r["text"]
+    assert pii.sanitised(df.limit(0)).count() == 0 and pii.personal_data(df.limit(0)).count() == 0
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 

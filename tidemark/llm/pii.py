@@ -4,14 +4,16 @@ Base kinds are email, ip, card and phone. Beyond them the method is information-
 entity c is a value of base kind; the terms t are the words of the documents that hold it, outside their base spans.
 Over all documents, PMI(t; c) = log2(n(t, c) N / (n(t) n(c))) is the information that t gives about c, and
 IC(c) = log2(N / n(c)) all there is. A term that discloses THRESHOLD or more of it, and is with c more often than chance
-explains, becomes a span of kind `term` in every document that holds c. Chance is tested for every pair, however rare:
+explains, becomes a span of kind `term` wherever it occurs, also in documents that don't hold c. Chance is tested for every pair, however rare:
 of the d different contexts of c (its document's first text within WINDOW code points, by hash) k are with t, which by
 chance has at most the probability exp(-d KL(k/d || n(t)/N)), Chernoff's bound of the hypergeometric tail. Times the
 number of pairs in all documents (Bonferroni) it must be LEVEL or less. sanitised() generalises base spans to their kind and removes terms.
 
 Null or empty text: no spans. Null doc_id: as any other. Repeated rows: the same result for each, and one context, so
-copies alone never make a term significant. Rows that share a doc_id share its disclosing terms. Empty tables give empty results.
-Matches never overlap within a kind; kinds may overlap. Only DataFrame functions are used.
+copies alone never make a term significant. Rows that share a doc_id get the spans of their own text. Empty tables give
+empty results. Whole texts of any length are searched; patterns take linear time and no stack. Other columns, of any
+name, stay in sanitised() and are ignored elsewhere. Matches never overlap within a kind; kinds may overlap, and
+sanitised() puts the label of the one that begins first, of ties the longest. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ WINDOW, THRESHOLD, LEVEL = 80, 0.9, 0.05
 #: Candidate terms up to this many are sent to all executors (some MB), more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 #: So with documents that hold disclosing terms, whose other texts then stay in place.
-BROADCAST_DOCS = 100_000
+BROADCAST_DOCS = 20_000
 # The base patterns. Quantifiers are possessive, and a match starts a run or follows a match, so that
 # the same matches take linear time and no stack.
 _WORD = "[A-Za-z0-9._%+-]"
@@ -117,7 +119,23 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, level: float = LEVEL) -> DataFrame:
     """(entity, term) where the term discloses the entity, as a table."""
-    return settle("pii-disclosing", lambda: _disclosing_terms(docs, window, threshold, level))
+    return settle("pii-disclosing", lambda: _disclosing_terms(docs, _rows(docs, window), threshold, level))
+
+
+def _rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """A table of a row for each of docs, from one scan: doc_id, sign of the text, base spans, and with spans entities and terms.
+
+    entities: the values of the row, each with the least of its contexts there, so that a row is one context of a value
+    at most. terms: the words outside of spans; a word that a span cuts is none of the text's own.
+    """
+    d = base_spans(_texts(docs.select("doc_id", "text")))
+    text, spans = F.col("__pii_text"), F.col("__pii_base")
+    near = F.array_sort(F.transform(spans, lambda s: F.struct(_entity(s).alias("entity"), _context(text, s, window).alias("context"))))
+    first = _let(near, lambda x: F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["entity"] != e["entity"])))
+    terms = F.array_intersect(_terms(_outside(text, spans)), _terms(text))
+    some = F.size(spans) > 0
+    places = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return materialise(d.select("doc_id", F.xxhash64(text).alias("sign"), places.alias("base"), F.when(some, first).alias("entities"), F.when(some, terms).alias("terms")), "pii-rows")
 
 
 def _context(text: Column, s: Column, window: int) -> Column:
@@ -142,17 +160,10 @@ def _outside(text: Column, spans: Column) -> Column:
     return _let(F.aggregate(by_place, start, add), lambda a: F.concat(F.array_join(a["parts"], " "), F.lit(" "), F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def _disclosing_terms(docs: DataFrame, window: int, threshold: float, level: float) -> DataFrame:
-    d = base_spans(_texts(docs.select("text"))).filter(F.size("__pii_base") > 0)
-    text, spans = F.col("__pii_text"), F.col("__pii_base")
-    # A row's entities, each with the least of its contexts there, so that a row is one context of an entity at most.
-    near = F.array_sort(F.transform(spans, lambda s: F.struct(_entity(s).alias("entity"), _context(text, s, window).alias("context"))))
-    first = _let(near, lambda x: F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["entity"] != e["entity"])))
-    # A word that a span cuts is none of the text's own.
-    terms = F.array_intersect(_terms(_outside(text, spans)), _terms(text))
-    seen = materialise(d.select(first.alias("entities"), terms.alias("terms")), "pii-contexts")
+def _disclosing_terms(docs: DataFrame, rows: DataFrame, threshold: float, level: float) -> DataFrame:
+    seen = rows.filter(F.col("entities").isNotNull()).select("entities", "terms")
     every = _texts(docs.select("text"))
-    n, tested = float(every.count()), seen.agg(F.sum(F.size("entities") * F.size("terms"))).first()[0] or 1
+    n, tested = float(rows.count()), seen.agg(F.sum(F.size("entities") * F.size("terms"))).first()[0] or 1
     n_c = seen.select(F.explode("entities").alias("e")).select("e.*").groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), F.count_distinct("context").alias("d"))
     # Chance explains a single context with a probability of 1 / N at least: where that is too much, its terms need no count.
     n_c = materialise(n_c.filter(F.col("d") >= (2 if tested > level * n else 1)), "pii-entities")
@@ -179,22 +190,31 @@ def _disclosing_terms(docs: DataFrame, window: int, threshold: float, level: flo
     return pairs.join(n_t, "term").filter((ic > 0) & (pmi >= threshold * ic) & significant(F.col("n_t"))).select("entity", "term")
 
 
-def _terms_of_documents(d: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """doc_id and the pattern of its disclosing terms, from rows with base spans."""
-    held = d.filter(F.size("__pii_base") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("__pii_base", _entity))).alias("entity"))
-    terms = held.join(disclosing, "entity").groupBy("doc_id").agg(F.sort_array(F.collect_set("term"), asc=False).alias("terms"))
+def _patterns(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(__pii_doc, __pii_sign, __pii_pattern) of the documents that hold disclosing terms, as a table: the pattern finds a document's own."""
+    terms = disclosing.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    d = _texts(docs.select("doc_id", "text"))
+    own = d.select("doc_id", F.xxhash64("__pii_text").alias("sign"), F.explode(_terms(F.col("__pii_text"))).alias("term")).join(terms, "term")
+    held = own.groupBy("doc_id", "sign").agg(F.sort_array(F.collect_set("term"), asc=False).alias("terms"))
     either = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-    return terms.select(F.col("doc_id").alias("__pii_doc"), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])")).alias("__pii_pattern"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])"))
+    return materialise(held.select(F.col("doc_id").alias("__pii_doc"), F.col("sign").alias("__pii_sign"), pattern.alias("__pii_pattern")), "pii-patterns")
 
 
-def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """docs with __pii_text and __pii_base, and (__pii_doc, __pii_pattern) of documents with disclosing terms, if any."""
-    d = base_spans(_texts(docs))
-    disclosing = disclosing_terms(docs)
+def _with_patterns(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """docs with __pii_text that hold disclosing terms, with their pattern; None if no term discloses anything."""
+    disclosing = settle("pii-disclosing", lambda: _disclosing_terms(docs, rows, THRESHOLD, LEVEL))
     if disclosing.isEmpty():
-        return d, None
-    patterns = materialise(_terms_of_documents(d, disclosing), "pii-patterns")
-    return d, F.broadcast(patterns) if patterns.count() <= BROADCAST_DOCS else patterns
+        return None
+    patterns = _patterns(docs, disclosing)
+    return F.broadcast(patterns) if patterns.count() <= BROADCAST_DOCS else patterns
+
+
+def _joined(d: DataFrame, patterns: DataFrame, how: str) -> DataFrame:
+    """d (doc_id, __pii_text) with the pattern of its own text, so that rows which share an id get the places in theirs."""
+    return d.join(patterns, F.col("doc_id").eqNullSafe(F.col("__pii_doc")) & (F.xxhash64("__pii_text") == F.col("__pii_sign")), how)
 
 
 def _term_spans(pattern: str = "__pii_pattern") -> Column:
@@ -206,33 +226,37 @@ def _written(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document. Texts aren't shuffled but for those with terms."""
-    d, patterns = all_spans(docs.select("doc_id", "text"))
-    base = d.select("doc_id", F.transform("__pii_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("b"))
-    added = F.lit("")
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document, as a table. Only texts with terms are joined."""
+    return settle("pii-result", lambda: _personal_data(docs.select("doc_id", "text")))
+
+
+def _personal_data(docs: DataFrame) -> DataFrame:
+    rows = _rows(docs)
+    patterns = _with_patterns(docs, rows)
+    out, added = rows.select("doc_id", "sign", "base"), F.lit("")
     if patterns is not None:
-        # By doc_id and text, so that rows which share an id get the places in their own text.
-        keyed = d.filter(F.size("__pii_base") > 0).join(patterns, F.col("doc_id").eqNullSafe(F.col("__pii_doc")))
-        found = keyed.select("__pii_doc", F.xxhash64("__pii_text").alias("__pii_hash"), _written(_term_spans()).alias("__pii_added")).distinct()
-        base = d.select("doc_id", F.xxhash64("__pii_text").alias("hash"), F.transform("__pii_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("b"))
-        base = base.join(found, F.col("doc_id").eqNullSafe(F.col("__pii_doc")) & (F.col("hash") == F.col("__pii_hash")), "left")
-        added = F.coalesce(F.col("__pii_added"), F.lit(""))
-    count = lambda k: F.size(F.filter("b", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    out = base.select("doc_id", *[count(k) for k in PATTERNS], _written(F.col("b")).alias("base"), added.alias("added"))
+        found = _joined(_texts(docs), patterns, "inner").select("__pii_doc", "__pii_sign", _written(_term_spans()).alias("added")).distinct()
+        found = materialise(found, "pii-added")
+        found = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found
+        out = out.join(found, F.col("doc_id").eqNullSafe(F.col("__pii_doc")) & (F.col("sign") == F.col("__pii_sign")), "left")
+        added = F.coalesce(F.col("added"), F.lit(""))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    out = out.select("doc_id", *[count(k) for k in PATTERNS], _written(F.col("base")).alias("base"), added.alias("added"))
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("added") != "", F.col("added")))
     return out.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with base spans generalised to [EMAIL], [IP], [CARD] or [PHONE] and disclosing terms removed; all columns stay."""
-    return guarded(docs, lambda d: _sanitised(d))
+    return guarded(docs, _sanitised)
 
 
 def _sanitised(docs: DataFrame) -> DataFrame:
-    d, patterns = all_spans(docs)
+    patterns = _with_patterns(docs, _rows(docs))
+    d = base_spans(_texts(docs))
     spans = F.col("__pii_base")
     if patterns is not None:
-        d = d.join(patterns, F.col("doc_id").eqNullSafe(F.col("__pii_doc")), "left")
+        d = _joined(d, patterns, "left")
         spans = F.concat(spans, _term_spans())
     d = d.withColumn("__pii_spans", spans)
     t = F.col("__pii_text")
