@@ -37,6 +37,8 @@ VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
 WINDOW, SEGMENT, LANES, ROUNDS, RATE = 32, 16, 128, 2, 0.08
 #: Tokens of a trainer, of all rounds together, and weights that are averaged at once.
 TRAINER, FAN = 2_000_000, 64
+#: Documents of more tokens come first in a trainer, so that they don't hold its end up in a few lanes.
+LONG = 1600
 #: Words whose counts every executor holds; about 10 MB.
 LOOKUP = 262_144
 #: Tokens that are scored together, in up to SCORE_LANES lanes.
@@ -436,7 +438,7 @@ def train_model(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[st
     flat, spark = pack(initial(v)), docs.sparkSession
     # By content, so that a rerun learns the same; rows without id by their place too, so that copies are spread.
     place = F.xxhash64("key", "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
-    dealt = docs.select(F.pmod(place, F.lit(parts)).cast("int").alias("trainer"), F.pmod(F.xxhash64(place), F.lit(rounds)).alias("round"), "key", "doc_id", "ids")
+    dealt = docs.select(F.pmod(place, F.lit(parts)).cast("int").alias("trainer"), F.pmod(F.xxhash64(place), F.lit(rounds)).alias("round"), (F.col("n_tokens") > LONG).alias("long"), "key", "doc_id", "ids")
     for round_ in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
@@ -458,7 +460,7 @@ def train_model(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[st
             return pd.DataFrame({"part": [int(pdf["part"].min())], "n": [int(pdf["n"].sum())], "weights": [(stacked / pdf["n"].sum()).astype(np.float32).tobytes()]})
 
         kinds = "part int, n long, weights binary"
-        own = dealt.filter(F.col("round") == round_).repartition(parts, "trainer").sortWithinPartitions("trainer", "key", "doc_id", "ids").mapInPandas(fit, kinds)
+        own = dealt.filter(F.col("round") == round_).repartition(parts, "trainer").sortWithinPartitions("trainer", F.desc("long"), "key", "doc_id", "ids").mapInPandas(fit, kinds)
         left = parts
         while left > FAN:  # a level of averages at a time, so that no task and not the driver gets more than some FAN weights
             left = -(-left // FAN)
