@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import collapse
+from .text import collapse, normalised
 
 # Labels and terms of user interfaces, applications, and extensions of file titles.
 LABELS = [
@@ -27,11 +27,13 @@ SHAPES = [
 
 
 def is_noise(line: Column) -> Column:
-    return collapsed_is_noise(collapse(line))
+    """The predicate for any line: normal form first, so that full-width clocks, dates and labels count."""
+    x = collapse(normalised(line))
+    return collapsed_is_noise(x, F.lower(x))  # a lambda can't hold what runs in Python
 
 
 def collapsed_is_noise(x: Column, low: Column | None = None) -> Column:
-    """The predicate for a line whose white space is collapsed, and its lower case where that is at hand.
+    """The predicate for a line in normal form whose white space is collapsed, and its lower case where that is at hand.
 
     Cheap tests stand before patterns, and patterns are anchored, so that a line takes linear time.
     """

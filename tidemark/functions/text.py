@@ -67,8 +67,18 @@ def occurrences(text: Column, token: str) -> Column:
     return F.when(text.contains(token), count).otherwise(0)
 
 
+#: Distances that are looked for first: a search within a band takes time by its width, the full one by the text's length.
+BANDS = (8, 128, 2048)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of whole texts in code points."""
+    near = [F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS]
+    return F.coalesce(*near, F.levenshtein(a, b))
+
+
 def character_error_rate(truth: Column, found: Column) -> Column:
-    d = F.levenshtein(truth, found)
+    d = distance(truth, found)
     return F.when(F.length(truth) == 0, F.when(F.length(found) == 0, 0.0).otherwise(1.0)).otherwise(d / F.length(truth))
 
 
@@ -81,7 +91,7 @@ def normalise(value: str | None) -> str | None:
     if not value:
         return value
     text = unicodedata.normalize("NFKC", value)
-    if not _LOOK_ALIKE.search(text):
+    if not _KANA.search(text) or not _LOOK_ALIKE.search(text):
         return text
     done: list[str] = []
     for at, c in enumerate(text):
@@ -100,6 +110,11 @@ def normalise_text(s: pd.Series) -> pd.Series:
     return s.map(normalise, na_action="ignore")
 
 
+def normalised(c: Column) -> Column:
+    """A text's normal form; texts of ASCII alone have it already and don't go to Python."""
+    return F.coalesce(normalise_text(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 

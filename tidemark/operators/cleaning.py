@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.noise import EXTENSIONS, collapsed_is_noise
-from ..functions.text import collapse, ellipsis, line_key, lines
+from ..functions.text import collapse, ellipsis, line_key, lines, normalised
 
 TOP, BOTTOM, REPEATED = 0.14, 0.82, 0.6
 # Fixed value: simplified characters that lower a title's rank.
 SIMPLIFIED = "值视图组"
+# What is cut from a file's title, and what shows that a sentence goes on behind a file's name.
+APPLICATION = r"(?i)\s*[-–—]\s*(PowerPoint|Word|Excel|Adobe Acrobat|Google Chrome|Microsoft Edge).*$"
+KATAKANA_HYPHEN = r"(?<=[ァ-ヶ])-+(?=[ァ-ヶ])"
+PATH_STEP = r"\s*(?:>|\\|/)\s*"
+CONTINUED = "^[ぁ-んァ-ヶー一-龠]"
 
 
 def exploded(pages: DataFrame, text: str = "ocr_text") -> DataFrame:
-    """(group, page, pos, line, key) of pages (group, page, text): one row a line that isn't blank."""
-    x = pages.select("group", "page", F.posexplode(lines(F.coalesce(F.col(text), F.lit("")))).alias("pos", "raw"))
+    """(group, page, pos, line, key) of pages (group, page, text): one row a line that isn't blank, in normal form."""
+    pages = pages.select("group", "page", normalised(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    x = pages.select("group", "page", F.posexplode(lines(F.col("text"))).alias("pos", "raw"))
     x = x.withColumn("line", collapse(F.col("raw"))).filter(F.col("line") != "")
     return x.select("group", "page", "pos", "line", F.lower("line").alias("key"))
 
@@ -80,7 +86,7 @@ def kept_type() -> str:
 def cleaned(pages: DataFrame) -> DataFrame:
     """(group, page, text) of pages (group, page, height, safe): distinct lines without noise and repeated outer chrome."""
     rows = pages.select("group", "page", "height", F.posexplode("safe").alias("pos", "x"))
-    rows = rows.select("group", "page", "height", "pos", collapse(F.col("x.text")).alias("line"), box(F.col("x.polygon")).alias("box"))
+    rows = rows.select("group", "page", "height", "pos", collapse(normalised(F.col("x.text"))).alias("line"), box(F.col("x.polygon")).alias("box"))
     rows = rows.filter(F.col("line") != "").withColumn("key", F.lower("line"))
     n = pages.groupBy("group").agg(F.count_distinct("page").alias("n"))
     often = document_frequency(rows).join(n, "group").filter(F.col("pages") >= threshold(F.col("n"))).select("group", "key", F.lit(True).alias("often"))
@@ -93,7 +99,7 @@ def cleaned(pages: DataFrame) -> DataFrame:
 
 
 def important(text: Column, limit: int = 8) -> Column:
-    """The first useful lines, long ones cut."""
+    """The first useful lines of a text in normal form, long ones cut."""
     useful = F.filter(F.transform(lines(text), collapse), lambda x: (x != "") & ~collapsed_is_noise(x))
     return F.transform(F.slice(useful, 1, limit), lambda x: ellipsis(x))
 
@@ -103,10 +109,10 @@ def title_candidates(rows: DataFrame) -> DataFrame:
     line = F.col("line")
     found = F.regexp_extract(line, rf"(?i)^(.+?\.(?:{EXTENSIONS}))", 1)
     trailing = F.substring(line, F.length(found) + 1, F.length(line))
-    name = F.trim(F.regexp_replace(found, r"(?i)\s*[-–—]\s*(PowerPoint|Word|Excel|Adobe Acrobat|Google Chrome|Microsoft Edge).*$", ""))
-    name = F.regexp_replace(F.regexp_replace(name, r"(?<=[ァ-ヶ])-+(?=[ァ-ヶ])", "ー"), rf"(?i)\.(?:{EXTENSIONS})$", "")
-    name = F.trim(F.element_at(F.split(name, r"\s*(?:>|\\|/)\s*"), -1))
-    shown = (found != "") & ~trailing.rlike("^[ぁ-んァ-ヶー一-龠]") & (name != "")
+    name = F.trim(F.regexp_replace(found, APPLICATION, ""))
+    name = F.regexp_replace(F.regexp_replace(name, KATAKANA_HYPHEN, "ー"), rf"(?i)\.(?:{EXTENSIONS})$", "")
+    name = F.trim(F.element_at(F.split(name, PATH_STEP), -1))
+    shown = (found != "") & ~trailing.rlike(CONTINUED) & (name != "")
     plain = F.length(line).between(5, 100) & ~collapsed_is_noise(line, F.col("key"))
     return rows.withColumns({"file_title": F.when(shown, name), "plain": F.when(plain, line)})
 
@@ -117,9 +123,9 @@ def automatic_titles(rows: DataFrame) -> DataFrame:
     c = c.select("group", "page", "pos", "c.kind", "c.value").filter(F.col("value").isNotNull())
     counted = c.groupBy("group", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "pos")).alias("first"))
     penalty = F.when(F.col("kind") == 1, F.length("value") - F.length(F.translate("value", SIMPLIFIED, ""))).otherwise(0)
-    order = W.partitionBy("group").orderBy(F.desc("kind"), penalty, F.desc("n"), F.desc(F.length("value")), "first")
-    best = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") == 1)
-    return best.select("group", F.col("value").alias("title"))
+    # The least of a struct is an aggregate with partial results, so a group's values don't meet in one window.
+    rank = F.struct((-F.col("kind")).alias("a"), penalty.alias("b"), (-F.col("n")).alias("c"), (-F.length("value")).alias("d"), "first", "value")
+    return counted.groupBy("group").agg(F.min(rank)["value"].alias("title"))
 
 
 def line_keys_of(rows: DataFrame) -> DataFrame:

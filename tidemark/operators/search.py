@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import escape_like, excerpt, fold_ascii, occurrences
 from ..functions.vectors import dot_literal, norm_of
+from .ordered import beside
 
 BRANCH, FUSION = 200, 60
 K1, B = 1.2, 0.75
@@ -160,6 +161,17 @@ def neighbours(ev: DataFrame, event_id: int, n: int = 2) -> DataFrame:
     return before.unionByName(after)
 
 
+def with_previous(ev: DataFrame) -> DataFrame:
+    """Events (id, session_id, started_at) with the id of the session's previous event."""
+    return beside(ev, "session_id", "started_at", "id", {"previous_id": lambda w: F.lag("id").over(w)}).drop("nth")
+
+
+def with_neighbours(ev: DataFrame, n: int = 2) -> DataFrame:
+    """Events with the ids of the n before and the n after them in their session."""
+    around = lambda a, b: lambda w: F.collect_list("id").over(w.rowsBetween(a, b))
+    return beside(ev, "session_id", "started_at", "id", {"before_ids": around(-n, -1), "after_ids": around(1, n)}, before=n, after=n).drop("nth")
+
+
 def wildcard(text: Column, pattern: str, escaped: bool = False) -> Column:
     """LIKE over any case; % and _ of the input act as wildcards unless escaped."""
     p = F.lit(f"%{pattern}%")

@@ -12,22 +12,29 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import similarity
+from .ordered import beside, running
 
 SIMILAR, RUN, CHARS, SECONDS = 0.96, 3, 30, 120
 
 
 def chains(frames: DataFrame, at: str, tie: str, seconds: float = SECONDS) -> DataFrame:
-    """frames with ``chain``, which grows where the gap to the session's previous start is too long or the size changes."""
-    w = W.partitionBy("session_id").orderBy(at, tie)
-    near = F.col(at) - F.lag(at).over(w) <= seconds
-    for c in ("width", "height"):
-        if c in frames.columns:
-            near = near & (F.col(c) == F.lag(c).over(w))
-    starts = F.when(near, 0).otherwise(1)
-    return frames.withColumn("__starts", starts).withColumn("chain", F.sum("__starts").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__starts")
+    """frames with ``chain``, which grows where the gap to the session's previous start is too long or the size changes.
+
+    A session of any length is cut in ranges of time.
+    """
+
+    def starts(w) -> Column:
+        near = F.col(at) - F.lag(at).over(w) <= seconds
+        for c in ("width", "height"):
+            if c in frames.columns:
+                near = near & (F.col(c) == F.lag(c).over(w))
+        return F.when(near, 0).otherwise(1)
+
+    marked = beside(frames, "session_id", at, tie, {"__starts": starts})
+    return running(marked, "session_id", "__starts", "chain").drop("__starts", "nth")
 
 
 class Line(NamedTuple):

@@ -69,10 +69,12 @@ def pack_revoke(spark, sf_dir):
     return packs(spark, sf_dir).select("id", F.when(may, "revoked").otherwise(F.col("status")).alias("status"))
 
 
-@query(f"WITH {EV_SQL}, {ITEM_SQL} SELECT pack_id, position, event_id, session_id, substr(ocr_text, 1, 80) AS head FROM item JOIN ev ON ev.id = item.event_id")
+@query(f"WITH {EV_SQL}, {ITEM_SQL} SELECT pack_id, position, event_id, session_id, sha256(ocr_text) AS source_text_sha256, 0.0::DOUBLE AS bm25_score FROM item JOIN ev ON ev.id = item.event_id")
 def pack_items_ordered(spark, sf_dir):
-    ev = events(spark, sf_dir).select("id", "session_id", F.substring("ocr_text", 1, 80).alias("head"))
-    return P.items_in_order(pack_items(spark, sf_dir), ev).select("pack_id", "position", "event_id", "session_id", "head")
+    """Items with their events; whole texts are digested before the join, which then moves no texts."""
+    ev = events(spark, sf_dir).select("id", "session_id", F.sha2("ocr_text", 256).alias("source_text_sha256"))
+    items = P.items_in_order(pack_items(spark, sf_dir), ev).withColumn("bm25_score", F.lit(0.0))
+    return items.select("pack_id", "position", "event_id", "session_id", "source_text_sha256", "bm25_score")
 
 
 @query(f"WITH {EV_SQL}, c(position, id) AS (VALUES (0, 42), (1, 7), (2, 300), (3, 150), (4, 12)) SELECT position, id, session_id, started_at FROM c JOIN ev USING (id)")
@@ -162,14 +164,13 @@ def page_bands_join(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS y, l_discount * 100 AS x FROM lineitem WHERE l_linenumber <= 4),
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS y, l_discount * 100 AS x FROM lineitem),
 r AS (SELECT o_orderkey, o_custkey % 10 AS rx, o_custkey % 40 AS ry FROM orders)
 SELECT l_orderkey, l_linenumber, round(x, 2) AS x, y FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE o_orderkey = l_orderkey AND x < rx + 4 AND x + 1 > rx AND y < ry + 15 AND y + 1 > ry)"""
 )
 def region_overlap_anti(spark, sf_dir):
     """Lines that no rectangle of their document touches; touching edges don't count."""
-    item = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= 4)
-    item = item.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"))
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"))
     r = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("rx"), (F.col("o_custkey") % 40).alias("ry"))
     hit = (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("x") < F.col("rx") + 4) & (F.col("x") + 1 > F.col("rx")) & (F.col("y") < F.col("ry") + 15) & (F.col("y") + 1 > F.col("ry"))
     return item.join(r, hit, "left_anti").select("l_orderkey", "l_linenumber", F.round("x", 2).alias("x"), "y")

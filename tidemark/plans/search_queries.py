@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..operators import search as S
 from ..functions.vectors import hamming
 from ..sources.views import EV_SQL, events, table
@@ -136,8 +137,8 @@ def session_counts(spark, sf_dir):
 
 @query(f"WITH {EV_SQL} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY started_at, id)::INT AS nth FROM ev WHERE {_BETWEEN}")
 def session_timeline(spark, sf_dir):
-    nth = F.row_number().over(W.partitionBy("session_id").orderBy("started_at", "id"))
-    return S.overlapping(events(spark, sf_dir), START, END).select("session_id", "id", nth.alias("nth"))
+    ev = S.overlapping(events(spark, sf_dir), START, END).select("session_id", "id", "started_at")
+    return ordered.ranked(ev, "session_id", "started_at", "id").select("session_id", "id", F.col("nth").cast("int").alias("nth"))
 
 
 @query(
@@ -151,8 +152,7 @@ def event_neighbors(spark, sf_dir):
 
 @query(f"WITH {EV_SQL} SELECT id, (lag(id) OVER (PARTITION BY session_id ORDER BY started_at, id))::DOUBLE AS previous_id FROM ev")
 def prev_event(spark, sf_dir):
-    order = W.partitionBy("session_id").orderBy("started_at", "id")
-    return events(spark, sf_dir).select("id", F.lag("id").over(order).cast("double").alias("previous_id"))
+    return S.with_previous(events(spark, sf_dir).select("id", "session_id", "started_at")).select("id", F.col("previous_id").cast("double").alias("previous_id"))
 
 
 @query(
@@ -161,9 +161,8 @@ def prev_event(spark, sf_dir):
 SELECT id, coalesce(array_to_string(b, ','), '') AS before_ids, coalesce(array_to_string(a, ','), '') AS after_ids FROM w"""
 )
 def neighbor_windows(spark, sf_dir):
-    order = W.partitionBy("session_id").orderBy("started_at", "id")
-    ids = lambda a, b: F.array_join(F.collect_list("id").over(order.rowsBetween(a, b)).cast("array<string>"), ",")
-    return events(spark, sf_dir).select("id", ids(-2, -1).alias("before_ids"), ids(1, 2).alias("after_ids"))
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return S.with_neighbours(events(spark, sf_dir).select("id", "session_id", "started_at")).select("id", ids("before_ids"), ids("after_ids"))
 
 
 @query(f"WITH {EV_SQL} SELECT id, started_at FROM ev WHERE processed_at IS NULL ORDER BY started_at, id LIMIT 100")

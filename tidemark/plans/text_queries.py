@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.noise import EXTENSIONS, collapsed_is_noise, noise_sql
-from ..functions.text import character_error_rate, collapse, escape_html, normalise_text, query_tokens
+from ..functions.text import character_error_rate, collapse, escape_html, normalise_text, normalised, query_tokens
 from ..operators import cleaning as C
 from ..operators import evaluate as E
-from ..sources.views import EV_SQL, events, table
+from ..sources.views import events, table
 from .registry import query
 
 LINES_SQL = r"""raw AS (SELECT source AS "group", doc_id AS page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
@@ -55,7 +55,7 @@ FROM documents d LEFT JOIN (SELECT * FROM u WHERE r <= 8) u ON u.page = d.doc_id
 )
 def important_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(C.important(F.coalesce("text", F.lit(""))), "\n").alias("important"))
+    return d.select("doc_id", F.array_join(C.important(normalised(F.coalesce("text", F.lit("")))), "\n").alias("important"))
 
 
 @query(
@@ -76,9 +76,9 @@ def query_tokenizer(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
-@query(r"""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
+@query(r"""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
 def html_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", escape_html(F.substring("text", 1, 300)).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", escape_html(F.col("text")).alias("escaped"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed FROM documents")
@@ -88,21 +88,18 @@ def whitespace_collapse(spark, sf_dir):
 
 @query()
 def nfkc_normalize(spark, sf_dir):
-    """Normalised texts of the judged queries and how many change; no SQL has this normalisation."""
-    t = table(spark, sf_dir, "benchmark")
-    return t.select("item_id", normalise_text("text").alias("normalised")).withColumn("n_chars", F.length("normalised"))
+    """Whole texts in normal form, by digest; no SQL has this normalisation."""
+    t = table(spark, sf_dir, "documents").select("doc_id", normalise_text("text").alias("text"))
+    return t.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
 
 
-@query(
-    f"""WITH {EV_SQL}, p AS (SELECT id, session_id, substr(regexp_replace(ocr_text, '[^ -~]', '', 'g'), 1, 60) AS truth, substr(regexp_replace(ocr_text, '[^ -~]', '', 'g'), 4, 60) AS found FROM ev),
-e AS (SELECT session_id, CASE WHEN length(truth) = 0 THEN CASE WHEN length(found) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(truth, found)::DOUBLE / length(truth) END AS cer FROM p),
-c AS (SELECT session_id, avg(cer) AS cer FROM e GROUP BY session_id)
-SELECT (SELECT round(avg(cer), 9) FROM e) AS micro, (SELECT round(avg(cer), 9) FROM c) AS macro, (SELECT count(*) FROM e) AS n_cases"""
-)
+@query()
 def cer_macro(spark, sf_dir):
-    """Error rate of a shifted reading of each text's head against the head, which is the case's truth."""
-    plain = F.regexp_replace("ocr_text", "[^ -~]", "")  # the SQL side's distance counts bytes
-    cases = events(spark, sf_dir).select("session_id", F.substring(plain, 1, 60).alias("truth"), F.substring(plain, 4, 60).alias("found"))
+    """Error rate of a reading that lost its first three characters and reads m for rn, against each whole text.
+
+    The SQL side counts bytes and takes the square of a text's length, so a test holds it against brute force.
+    """
+    cases = events(spark, sf_dir).select("session_id", F.col("ocr_text").alias("truth"), F.replace(F.substring("ocr_text", 4, 1 << 30), F.lit("rn"), F.lit("m")).alias("found"))
     rated = cases.select(F.col("session_id").alias("category"), character_error_rate(F.col("truth"), F.col("found")).alias("value"))
     return E.micro_and_macro(rated)
 

@@ -31,25 +31,36 @@ def _files(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts new in the place of path. The old one is moved aside first and deleted last, or put back, so it's never lost."""
+    target, fs = _files(spark, path)
+    source, old = _files(spark, new)[0], _files(spark, f"{path}.old-{uuid.uuid4().hex}")[0]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(source, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{new} can't be moved to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def rewrite(rows: DataFrame, path: str) -> None:
     """Replaces a table by rows that may be read from it: written aside, then renamed."""
-    spark = rows.sparkSession
     aside = f"{path}.{uuid.uuid4().hex}"
     rows.write.parquet(aside)
-    old, fs = _files(spark, path)
-    fs.delete(old, True)
-    fs.rename(_files(spark, aside)[0], old)
+    _swap(rows.sparkSession, aside, path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file through Hadoop's file system, replaced as a whole."""
-    target, fs = _files(spark, path)
-    aside = _files(spark, f"{path}.{uuid.uuid4().hex}")[0]
+    new = f"{path}.{uuid.uuid4().hex}"
+    aside, fs = _files(spark, new)
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(aside, target)
+    _swap(spark, new, path)
 
 
 def publish(spark: SparkSession, root: str, pack_id: str, manifest: dict, markdown: str, html: str) -> str:
@@ -60,8 +71,7 @@ def publish(spark: SparkSession, root: str, pack_id: str, manifest: dict, markdo
         write_text(spark, f"{aside}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=1))
         write_text(spark, f"{aside}/context.md", markdown)
         write_text(spark, f"{aside}/context.html", html)
-        fs.delete(_files(spark, final)[0], True)
-        fs.rename(staged, _files(spark, final)[0])
+        _swap(spark, aside, final)
     except BaseException:
         fs.delete(staged, True)
         raise

@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """Events with an interval, text and, where asked for, a vector; a document is an event of its source's session."""
     d = table(spark, sf_dir, "documents")
-    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int), 0)")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + INTERVAL '1' MINUTE * doc_id")
     d = d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("session_id"),
         at.alias("started_at"),
-        (at + F.expr("make_dt_interval(0, 0, 0, n_chars % 120)")).alias("ended_at"),
+        (at + F.expr("INTERVAL '1' SECOND * (n_chars % 120)")).alias("ended_at"),
         F.col("text").alias("ocr_text"),
         F.when(F.col("doc_id") % 7 != 0, at).alias("processed_at"),
     )
