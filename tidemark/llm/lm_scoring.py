@@ -36,13 +36,13 @@ from .textops import mix, slices, utf8, word_hashes
 VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
 WINDOW, SEGMENT, LANES, ROUNDS, RATE = 32, 16, 128, 2, 0.08
 #: Tokens of a trainer, of all rounds together, and weights that are averaged at once.
-TRAINER, FAN = 2_000_000, 64
+TRAINER, FAN = 4_000_000, 8
 #: Documents of more tokens come first in a trainer, so that they don't hold its end up in a few lanes.
-LONG = 1600
+LONG = 400
 #: Words whose counts every executor holds; about 10 MB.
 LOOKUP = 262_144
 #: Tokens that are scored together, in up to SCORE_LANES lanes.
-SCORE_TOKENS, SCORE_LANES = 3_000_000, 256
+SCORE_TOKENS, SCORE_LANES = 3_000_000, 512
 END = np.uint64(1)
 
 
@@ -184,25 +184,28 @@ def outputs(hidden: np.ndarray, y: np.ndarray, w: dict, v: Vocabulary, grads: di
     order = np.argsort(y, kind="stable")  # classes are ranges of numbers, so each one's tokens come together
     hidden, y = hidden[order], y[order]
     rows, kind = np.arange(len(y)), v.kind[y]
-    log = hidden @ w["Wc"]
-    log += w["bc"]
+    one = np.concatenate([hidden, np.ones((len(y), 1), hidden.dtype)], axis=1)  # so that products take the biases along
+    inner = np.concatenate([w["Wo"], w["bo"][:, None]], axis=1)
+    n = hidden.shape[1]
+    log = one @ np.concatenate([w["Wc"], w["bc"][None]])
     log -= log.max(axis=1, keepdims=True)
     p = np.exp(log)
     total = p.sum(axis=1)
     found = log[rows, kind].astype(np.float64) - np.log(total)
-    back = None
+    back = grown = None
     if grads is not None:
         p /= total[:, None]
         p[rows, kind] -= 1.0
-        grads["Wc"] += hidden.T @ p
-        grads["bc"] += p.sum(axis=0)
+        both = one.T @ p
+        grads["Wc"] += both[:n]
+        grads["bc"] += both[n]
         back = p @ w["Wc"].T
+        grown = np.zeros_like(inner)
     bounds = np.searchsorted(y, v.cuts)
     for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(v.cuts) > 1)).tolist():
         a, b, first, last = v.cuts[c], v.cuts[c + 1], bounds[c], bounds[c + 1]
-        h, inside = hidden[first:last], (rows[: last - first], y[first:last] - a)
-        log = h @ w["Wo"][a:b].T
-        log += w["bo"][a:b]
+        h, inside = one[first:last], (rows[: last - first], y[first:last] - a)
+        log = h @ inner[a:b].T
         log -= log.max(axis=1, keepdims=True)
         p = np.exp(log)
         total = p.sum(axis=1)
@@ -210,9 +213,11 @@ def outputs(hidden: np.ndarray, y: np.ndarray, w: dict, v: Vocabulary, grads: di
         if grads is not None:
             p /= total[:, None]
             p[inside] -= 1.0
-            grads["Wo"][a:b] += p.T @ h
-            grads["bo"][a:b] += p.sum(axis=0)
+            np.matmul(p.T, h, out=grown[a:b])
             back[first:last] += p @ w["Wo"][a:b]
+    if grads is not None:
+        grads["Wo"] += grown[:, :n]
+        grads["bo"] += grown[:, n]
     out = np.empty_like(found)
     out[order] = found
     if back is not None:
@@ -331,7 +336,7 @@ def score_streams(w: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = S
     out = np.zeros(len(docs))
     if not len(docs):
         return out
-    n_lanes = int(max(1, min(lanes, len(docs), lengths.sum() // max(1, lengths.max()))))
+    n_lanes = int(max(1, min(lanes, len(docs), 4 * lengths.sum() // max(1, lengths.max()))))
     streams: list[list[int]] = [[] for _ in range(n_lanes)]
     loads = [(0, i) for i in range(n_lanes)]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -460,8 +465,8 @@ def train_model(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[st
             return pd.DataFrame({"part": [int(pdf["part"].min())], "n": [int(pdf["n"].sum())], "weights": [(stacked / pdf["n"].sum()).astype(np.float32).tobytes()]})
 
         kinds = "part int, n long, weights binary"
-        own = dealt.filter(F.col("round") == round_).repartition(parts, "trainer").sortWithinPartitions("trainer", F.desc("long"), "key", "doc_id", "ids").mapInPandas(fit, kinds)
-        left = parts
+        own = dealt.filter(F.col("round") == round_).repartition(4 * parts, "trainer").sortWithinPartitions("trainer", F.desc("long"), "key", "doc_id", "ids").mapInPandas(fit, kinds)
+        left = 4 * parts  # so many that most trainers have a partition of their own
         while left > FAN:  # a level of averages at a time, so that no task and not the driver gets more than some FAN weights
             left = -(-left // FAN)
             own = own.groupBy(F.pmod("part", F.lit(left)).cast("int").alias("g")).applyInPandas(average, kinds)
