@@ -211,8 +211,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
 
 def _pack(pieces: DataFrame, capacity: int, part_rows: int, rounds: int) -> DataFrame:
     pool = materialise(pieces, "pack-pieces")
-    full = pool.filter(F.col("length") == capacity).withColumns({"bin": F.xxhash64("doc_id", "piece"), "offset": F.lit(0).cast("long")})
-    keep = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
+    full = pool.filter(F.col("length") == capacity).withColumns({"bin": F.xxhash64("doc_id", "piece"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})
+    keep = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "gap"]
     rest = pool.filter(F.col("length") < capacity)
     placed, n = [], rest.count()
     for round_ in range(1, rounds + 1):
@@ -229,13 +229,17 @@ def _pack(pieces: DataFrame, capacity: int, part_rows: int, rounds: int) -> Data
     out = full.select(*keep)
     for p in placed:
         out = out.unionByName(p)
-    return out.withColumnRenamed("bin", "sequence_id")
+    return out.withColumnsRenamed({"bin": "sequence_id", "gap": "bins_above_bound"})
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, as a table; then bins_above_bound.
+
+    That is how many sequences more than the certified lower bound the piece's partition had in the round that placed it: 0
+    means that no packing of that partition has fewer.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    return pack(token_pieces(docs, path, capacity), capacity)
+    return settle("pack-result", lambda: pack(token_pieces(docs, path, capacity), capacity))
