@@ -98,6 +98,19 @@ def static_bands(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return run(same), run(same[::-1])
 
 
+def canvas(placed: list[tuple[np.ndarray, int]], top: int, bottom: int) -> np.ndarray:
+    """One picture of pictures at offsets, later ones over earlier ones; their static bands stand once, at the top and the bottom."""
+    least = min(offset for _, offset in placed)
+    height, width = placed[0][0].shape[:2]
+    out = np.zeros((max(offset for _, offset in placed) - least + height, width, 3), np.uint8)
+    out[:top] = placed[0][0][:top]
+    for p, offset in placed:
+        out[offset - least + top : offset - least + height - bottom] = p[top : height - bottom]
+    if bottom:
+        out[-bottom:] = placed[-1][0][-bottom:]
+    return out
+
+
 def correlation(a: np.ndarray, b: np.ndarray, shift: int, top: int = 0, bottom: int = 0) -> float:
     """How alike two scrolled pictures are where they overlap after a shift: 1 if almost equal, else their correlation."""
     x, y = (grey(p)[top : p.shape[0] - bottom].astype(float) for p in (a, b))

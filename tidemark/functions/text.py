@@ -43,6 +43,21 @@ def ellipsis(c: Column, most: int = 140) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
 
 
+def encoded(c: Column) -> Column:
+    """A text's UTF-8 bytes in base64, without line breaks."""
+    return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
+
+
+def decoded(c: Column) -> Column:
+    return F.decode(F.unbase64(c), "UTF-8")
+
+
+def embedding_input(c: Column, kind: str = "passage") -> Column:
+    """What an embedder reads: the trimmed text behind its kind, `passage` or `query`; null for a blank one."""
+    text = F.trim(c)
+    return F.when(text != "", F.concat(F.lit(f"{kind}: "), text))
+
+
 def escape_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

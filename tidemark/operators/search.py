@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import escape_like, excerpt, fold_ascii, occurrences
-from ..functions.vectors import dot_literal, norm_of
+from ..functions.vectors import FLAT, dot_literal, norm_of
 from .ordered import beside
 
 BRANCH, FUSION = 200, 60
@@ -81,6 +81,8 @@ def bm25(ev: DataFrame, tokens: list[str], start=None, end=None) -> DataFrame:
     """
     tokens = [t.lower() for t in tokens if len(t) >= 3]
     low, length = F.lower(F.col("ocr_text")), F.greatest(F.length("ocr_text") - 2, F.lit(0))
+    if not tokens:
+        return ev.select("id", F.lit(0.0).alias("bm25")).limit(0)
     stats = ev.select(length.alias("len"), *[low.contains(t).cast("int").alias(f"n{i}") for i, t in enumerate(tokens)])
     stats = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(tokens))])
     row = stats.first()
@@ -117,14 +119,42 @@ def vector_top(ev: DataFrame, query: list[float], start=None, end=None, limit: i
 
     Time filters come before the limit, scores that aren't finite are dropped after it.
     """
-    norm = norm_of("embedding", len(query))
-    rows = overlapping(ev, start, end).filter(F.size("embedding") == len(query)).select("id", dot_literal("embedding", query).alias("dot"), norm.alias("norm"))
-    rows = rows.filter(F.col("norm") > 0).select("id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    rows = overlapping(ev, start, end).filter(F.size("embedding") == len(query))
+    if len(query) > FLAT:
+        rows = nearest_in_batches(rows.select("id", "embedding"), query, limit)
+    else:
+        rows = rows.select("id", dot_literal("embedding", query).alias("dot"), norm_of("embedding", len(query)).alias("norm"))
+        rows = rows.filter(F.col("norm") > 0).select("id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     top = rows.orderBy(F.desc("score"), "id").limit(limit)
     top = top.filter(~F.isnan("score") & (F.abs("score") < float("inf")))
     return top.withColumn("semantic_rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
+def nearest_in_batches(rows: DataFrame, query: list[float], limit: int) -> DataFrame:
+    """(id, score) of rows (id, embedding) of the query's dimension: the nearest of each Arrow batch, by one matrix product.
+
+    Long vectors as columns of generated code are too large to be compiled; here a batch is one array.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    ask = np.array(query)
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column(1)
+            flat = vectors.flatten()
+            v = (flat.fill_null(float("nan")) if flat.null_count else flat).to_numpy(zero_copy_only=False).reshape(-1, len(ask)).astype(np.float64)
+            ids, norm = batch.column(0).to_numpy(), np.sqrt(np.einsum("ij,ij->i", v, v))
+            some = np.flatnonzero(~(norm <= 0))
+            score = np.round(v[some] @ ask / norm[some], 6)
+            best = some[np.lexsort((ids[some], -score))[:limit]] if len(some) else some
+            kept = np.round(v[best] @ ask / norm[best], 6)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(kept)], ["id", "score"])
+
+    return rows.mapInArrow(run, "id long, score double")
+
+
 def fuse(exact: DataFrame, semantic: DataFrame) -> DataFrame:
     """(id, score, exact_rank, semantic_rank) by reciprocal ranks. Both sides hold BRANCH rows at most."""
     both = exact.join(semantic.select("id", "semantic_rank"), "id", "full")

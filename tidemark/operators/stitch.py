@@ -117,6 +117,18 @@ def boundaries(total: int, view: int, lines: list[Line]) -> list[int]:
     return [*limits, total]
 
 
+def seen_in(pictures: dict, top: int = 0, bottom: int = 0) -> Callable[[int, int, int], float]:
+    """The visual check of stitched(): how alike two events' pictures are where they overlap after a shift; 0 without a picture."""
+    from ..functions.frames import correlation
+
+    def see(above: int, below: int, shift: int) -> float:
+        if above not in pictures or below not in pictures:
+            return 0.0
+        return correlation(pictures[above], pictures[below], shift, top, bottom)
+
+    return see
+
+
 PAGES = "session_id string, chain long, page int, text string, n_lines int, source_ids array<long>, total_height int, confidence double"
 COLUMNS = ["session_id", "chain", "page", "text", "n_lines", "source_ids", "total_height", "confidence"]
 

@@ -53,6 +53,19 @@ def rewrite(rows: DataFrame, path: str) -> None:
     _swap(rows.sparkSession, aside, path)
 
 
+def remove_paths(spark: SparkSession, root: str, paths: list[str]) -> int:
+    """Deletes files that lie under root, others stay; the bytes that were freed. A path may be gone already."""
+    top, fs = _files(spark, root)
+    base, freed = fs.makeQualified(top).toUri().normalize().getPath().rstrip("/") + "/", 0
+    for value in paths:
+        path = fs.makeQualified(_files(spark, value)[0])
+        if path.toUri().normalize().getPath().startswith(base) and fs.exists(path) and fs.getFileStatus(path).isFile():
+            size = fs.getFileStatus(path).getLen()
+            if fs.delete(path, False):
+                freed += size
+    return freed
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file through Hadoop's file system, replaced as a whole."""
     new = f"{path}.{uuid.uuid4().hex}"
