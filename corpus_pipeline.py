@@ -12,7 +12,7 @@ Each stage is one operator of tidemark.llm. All but the last return the columns
 from __future__ import annotations
 
 from tidemark.llm import language_id, minhash_dedup, mixing, packing, pii
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, settle, table
 
 
 def keep_known_languages(spark, docs, sf_dir):
@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The packed pieces of what the stages keep of documents."""
+    """The packed pieces of what the stages keep of documents, as a table; the stages' own tables are deleted."""
+    return settle("pipeline", lambda: _run(spark, sf_dir))
+
+
+def _run(spark, sf_dir):
     docs = spark.read.parquet(table(sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
