@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .ordered import ranked, running
 
 
 def micro_and_macro(rows: DataFrame) -> DataFrame:
@@ -12,17 +14,20 @@ def micro_and_macro(rows: DataFrame) -> DataFrame:
 
 
 def nearest_ranks(rows: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
-    """Values at index round((n - 1) * share), half to even, of each key's sorted values."""
-    values = rows.filter(F.col("value").isNotNull())
-    n = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    ranked = values.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy("value")) - 1).join(n, key)
-    at = lambda s: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * s), F.col("value")))
-    return ranked.groupBy(key).agg(*[at(s).alias(name) for name, s in shares.items()])
+    """Values at index round((n - 1) * share), half to even, of each key's sorted values.
+
+    Equal values are counted first, and counts are summed up in ranges of values, so that a key may hold most rows.
+    """
+    counted = rows.filter(F.col("value").isNotNull()).groupBy(key, "value").agg(F.count(F.lit(1)).alias("c"))
+    n = counted.groupBy(F.col(key).alias("__key")).agg(F.sum("c").alias("n"))
+    upto = running(ranked(counted, key, "value", "value"), key, "c", "upto").join(n, F.col(key).eqNullSafe(F.col("__key")))
+    at = lambda s: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * s), F.col("value")))
+    return upto.groupBy(key).agg(*[at(s).alias(name) for name, s in shares.items()])
 
 
-def top_hits(ranked: DataFrame, ks: list[int]) -> DataFrame:
+def top_hits(results: DataFrame, ks: list[int]) -> DataFrame:
     """How many expected rows are among the first k of each query."""
-    return ranked.groupBy("query").agg(*[F.count_if((F.col("rank") <= k) & F.col("expected")).alias(f"top{k}") for k in ks])
+    return results.groupBy("query").agg(*[F.count_if((F.col("rank") <= k) & F.col("expected")).alias(f"top{k}") for k in ks])
 
 
 def best_provider(rows: DataFrame) -> DataFrame:

@@ -202,6 +202,37 @@ def with_neighbours(ev: DataFrame, n: int = 2) -> DataFrame:
     return beside(ev, "session_id", "started_at", "id", {"before_ids": around(-n, -1), "after_ids": around(1, n)}, before=n, after=n).drop("nth")
 
 
+def holding_tokens(ev: DataFrame, tokens: list[str]) -> DataFrame:
+    """(token, n_events, first_event) of the tokens that some event's text holds, in any case, from one scan for all of them.
+
+    A task searches its texts for all tokens at once by an automaton and adds up its own counts; callers bound the list.
+    """
+    import pyarrow as pa
+
+    wanted = sorted({t.lower() for t in tokens if t})
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(wanted):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        n, first = [0] * len(wanted), [None] * len(wanted)
+        for batch in batches:
+            for event, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in {i for _, i in automaton.iter(low)} if low else ():
+                    n[i] += 1
+                    first[i] = event if first[i] is None or (event is not None and event < first[i]) else first[i]
+        found = [i for i, k in enumerate(n) if k]
+        yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in found], pa.string()), pa.array([n[i] for i in found], pa.int64()), pa.array([first[i] for i in found], pa.int64())], ["token", "n", "first"])
+
+    if not wanted:
+        return ev.select(F.lit("").alias("token"), F.lit(0).cast("long").alias("n_events"), F.col("id").alias("first_event")).limit(0)
+    parts = ev.select(F.col("id").cast("long"), F.lower("ocr_text")).mapInArrow(run, "token string, n long, first long")
+    return parts.groupBy("token").agg(F.sum("n").alias("n_events"), F.min("first").alias("first_event"))
+
+
 def wildcard(text: Column, pattern: str, escaped: bool = False) -> Column:
     """LIKE over any case; % and _ of the input act as wildcards unless escaped."""
     p = F.lit(f"%{pattern}%")

@@ -1,7 +1,7 @@
 """Stitching of scrolled pages: chains of compatible frames, overlaps of their lines, page boundaries.
 
 Frames come as line geometry; pixels are optional, and where an event has no picture a visual score is given by the
-caller. Chains are found natively; a chain's frames, a bounded number, are stitched in one grouped function.
+caller. Chains are found natively; a chain's frames are streamed in order, and only those that continue each other are held.
 """
 
 from __future__ import annotations
@@ -140,34 +140,43 @@ def stitched(frames: DataFrame, visual: Callable[[int, int, int], float] | None
     """
     see = visual or (lambda above, below, shift: 1.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        session, chain = pdf["session_id"].iloc[0], int(pdf["chain"].iloc[0])
-        groups: list[dict] = []
-        for event, height, rows in zip(pdf["event_id"], pdf["height"], pdf["lines"], strict=True):
-            lines = [Line(r["text"], r["left"], r["right"], r["top"], r["bottom"]) for r in rows if r["top"] is not None]
-            found = None
-            if groups:
-                last_event, last_offset, last_lines = groups[-1]["frames"][-1]
-                found = overlap(last_lines, lines, height, top, bottom, lambda shift, a=last_event, b=event: see(a, b, shift))
-            if found is None:
-                groups.append({"height": int(height), "frames": [(int(event), 0, lines)], "scores": []})
-            else:
-                groups[-1]["frames"].append((int(event), last_offset + found.shift, lines))
-                groups[-1]["scores"].append(min(found.visual, found.text))
-        out, page = [], 0
-        for g in groups:
-            placed, height = g["frames"], g["height"]
-            offsets = [o for _, o, _ in placed]
-            total = max(offsets) - min(offsets) + height
-            lines = merged(placed, height, top, bottom) if len(placed) > 1 else [(placed[0][0], x) for x in placed[0][2]]
-            limits = boundaries(total, height, [x for _, x in lines]) if len(placed) > 1 else [0, total]
-            for low, high in zip(limits, limits[1:], strict=False):
-                own = [x for _, x in lines if low <= x.center < high]
-                ids = list(dict.fromkeys(e for e, o, _ in placed if o - min(offsets) + top < high and o - min(offsets) + height - bottom > low)) or [placed[0][0]]
-                score = round(min(g["scores"]), 4) if g["scores"] else math.nan
-                out.append((session, chain, page, "\n".join(x.text for x in own), len(own), ids, total, score))
-                page += 1
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return frames.groupBy("session_id", "chain").applyInPandas(run, PAGES)
+    def pages(session: str, chain: int, page: int, g: dict) -> list[tuple]:
+        """A finished group's pages, numbered from ``page``."""
+        placed, height = g["frames"], g["height"]
+        offsets = [o for _, o, _ in placed]
+        total = max(offsets) - min(offsets) + height
+        lines = merged(placed, height, top, bottom) if len(placed) > 1 else [(placed[0][0], x) for x in placed[0][2]]
+        limits = boundaries(total, height, [x for _, x in lines]) if len(placed) > 1 else [0, total]
+        score, out = round(min(g["scores"]), 4) if g["scores"] else math.nan, []
+        for low, high in zip(limits, limits[1:], strict=False):
+            own = [x for _, x in lines if low <= x.center < high]
+            ids = list(dict.fromkeys(e for e, o, _ in placed if o - min(offsets) + top < high and o - min(offsets) + height - bottom > low)) or [placed[0][0]]
+            out.append((session, chain, page + len(out), "\n".join(x.text for x in own), len(own), ids, total, score))
+        return out
+
+    def run(batches):
+        key, page, group = None, 0, None
+        for pdf in batches:
+            out = []
+            for session, chain, event, height, rows in zip(*(pdf[c] for c in ("session_id", "chain", "event_id", "height", "lines")), strict=True):
+                lines = [Line(r["text"], r["left"], r["right"], r["top"], r["bottom"]) for r in rows if r["top"] is not None]
+                found = None
+                if key == (session, chain):
+                    last_event, last_offset, last_lines = group["frames"][-1]
+                    found = overlap(last_lines, lines, height, top, bottom, lambda shift, a=last_event, b=event: see(a, b, shift))
+                if found is not None:
+                    group["frames"].append((int(event), last_offset + found.shift, lines))
+                    group["scores"].append(min(found.visual, found.text))
+                    continue
+                if group is not None:
+                    done = pages(*key, page, group)
+                    out += done
+                    page += len(done)
+                page = page if key == (session, chain) else 0
+                key, group = (session, chain), {"height": int(height), "frames": [(int(event), 0, lines)], "scores": []}
+            yield pd.DataFrame(out, columns=COLUMNS)
+        if group is not None:
+            yield pd.DataFrame(pages(*key, page, group), columns=COLUMNS)
+
+    dealt = frames.select("session_id", F.col("chain").cast("long").alias("chain"), "event_id", "at", "height", "lines")
+    return dealt.repartition("session_id", "chain").sortWithinPartitions("session_id", "chain", "at", "event_id").mapInPandas(run, PAGES)
