@@ -9,7 +9,8 @@ gives its classes' numbers of links and a spanning forest of them, not the pairs
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with null label or null vec_id link with
 nothing: n_links 0, component_id = vec_id, kept (false where vec_id is null). Only vectors of equal length link. Repeated
-rows link with each other as other vectors. An empty table gives an empty result.
+rows link with each other as other vectors. A vector as near to two pivots is of the lower one's cell, which changes no
+result. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

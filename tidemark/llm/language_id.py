@@ -125,7 +125,7 @@ def _probabilities(logits: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int) -> tuple[np.ndarray, float]:
     """Weights (classes, BUCKETS + 1 for the bias) by FTRL-proximal steps, and the temperature. rows: buckets, unit values, class."""
     z, n = np.zeros((n_classes, BUCKETS + 1)), np.zeros((n_classes, BUCKETS + 1))
-    kept = rows[: max(1, len(rows) * 4 // 5)]
+    kept = rows[: max(n_classes, len(rows) * 4 // 5)]
 
     def weights(at):
         zi = z[:, at]
@@ -169,7 +169,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
         return [], np.zeros((0, BUCKETS + 1)), idf, 1.0
     number = {x: i for i, x in enumerate(langs)}
     rows = [(*_unit(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(n, "<f4").astype(float), idf), number[x]) for x, a, n in zip(chosen["lang"], chosen["at"], chosen["n"], strict=True)]
-    rows.sort(key=lambda r, seen=set(): r[2] in seen or seen.add(r[2]) or False)  # one of each language first, so that none is left out
+    first = {y: i for i, (_, _, y) in reversed(list(enumerate(rows)))}  # goes to the front, so that no language is left out
+    rows = [rows[i] for i in sorted(first.values())] + [r for i, r in enumerate(rows) if i != first[r[2]]]
     weights, temperature = fit(rows, len(langs))
     return langs, weights.astype(np.float32), idf.astype(np.float32), temperature
 

@@ -15,7 +15,10 @@ large at the last level, or has too many shingles for a task, is compared in pai
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z made small; a text of fewer words than a shingle is one shingle; without words or
 text the set is empty and links with nothing: n_shingles 0, component_id = doc_id, kept. Null doc_id: linked, but
 component_id is the least non-null doc_id of its group, else null, and kept is false. Rows that repeat are of one class, and
-kept where doc_id = component_id. An empty table gives an empty result. Shingles and sets are compared as 64-bit hashes.
+kept where doc_id = component_id. Of equal minwise values or sizes the lower class number leads, which changes no
+result. A text of any length is read in parts; its set of 8 bytes a shingle is held whole. An empty table gives an
+empty result. Other columns, of any name, stay in deduplicated() and are ignored elsewhere. Shingles and sets are
+compared as 64-bit hashes.
 """
 
 from __future__ import annotations

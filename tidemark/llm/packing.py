@@ -7,8 +7,10 @@ and releases only its emptiest bin, one with a gap releases every bin that isn't
 dealt anew to fewer partitions and packed again, until all are in one or nothing gained.
 
 Null or empty text: one piece of END alone. Null doc_id: packed like any other. Repeated rows: each is packed, as a
-document of its own. An empty table gives an empty result. Texts are tokenized whole, word by word: white space ends
-every match of the tokenizer's splitting pattern, so words between ASCII white space have the same ids on their own.
+document of its own. Pieces of one length go by doc_id, piece and start; of bins with equal room the lowest is filled.
+An empty table gives an empty result; other columns are ignored. Texts of any length are tokenized whole, word by word:
+white space ends every match of the tokenizer's splitting pattern, so words between ASCII white space have the same ids
+on their own.
 """
 
 from __future__ import annotations
