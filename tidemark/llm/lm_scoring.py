@@ -36,7 +36,7 @@ from .textops import mix, slices, utf8, word_hashes
 VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 64, 16, 24
 WINDOW, SEGMENT, LANES, ROUNDS, RATE = 32, 32, 128, 2, 0.08
 #: Tokens of a trainer, of all rounds together, and weights that are averaged at once.
-TRAINER, FAN = 4_000_000, 8
+TRAINER, FAN = 8_000_000, 8
 #: Documents of more tokens come first in a trainer, so that they don't hold its end up in a few lanes.
 LONG = 400
 #: Words whose counts every executor holds; about 10 MB.
