@@ -50,6 +50,32 @@ def test_distance_of_whole_texts(spark):
     assert [r[0] for r in df.collect()] == [edit_distance(a, b) for a, b in pairs]
 
 
+def test_distance_by_errors_and_by_bits():
+    import random
+
+    from tidemark.functions import text as T
+
+    random.seed(4)
+    codes = lambda x: T.np.frombuffer(x.encode("utf-32-le"), T.np.uint32)
+    for _ in range(400):
+        a = "".join(random.choice("ab漢😀") for _ in range(random.randrange(1, 40)))
+        b = "".join(random.choice([c, c, c, "", c + "a"]) for c in a) if random.random() < 0.7 else "".join(random.choice("ab") for _ in range(20))
+        want = edit_distance(a, b)
+        assert T.edit_distance(a, b) == want and (not b or T.by_bits(codes(a), codes(b)) == want == T.by_errors(codes(a), codes(b)))
+    assert T.by_errors(codes("ab" * 3000), codes("cd" * 3000)) is None and T.edit_distance("ab" * 3000, "cd" * 3000) == 6000
+
+
+def test_distance_of_long_texts_is_quick(spark):
+    import time
+
+    # Each loss is alone between far letters, so that the distance is their number.
+    text = "".join(f"{i:06d}{chr(0x4E00 + i % 9973)}" for i in range(30_000))
+    lost = "".join(c for i, c in enumerate(text) if i % 1_001)
+    df = spark.createDataFrame([(text, lost)] * 8, "a string, b string").select(distance("a", "b"))
+    start = time.monotonic()
+    assert {r[0] for r in df.collect()} == {len(text) - len(lost)} and time.monotonic() - start < 60
+
+
 def test_cer_macro_equals_brute_force(spark, tmp_path):
     import pandas as pd
 

@@ -6,9 +6,10 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 # Look-alike characters and what they are between katakana.
 LOOK_ALIKES = {"卜": "ト", "一": "ー", "二": "ニ", "力": "カ", "工": "エ", "夕": "タ", "口": "ロ", "八": "ハ", "-": "ー"}
@@ -82,14 +83,98 @@ def occurrences(text: Column, token: str) -> Column:
     return F.when(text.contains(token), count).otherwise(0)
 
 
-#: Distances that are looked for first: a search within a band takes time by its width, the full one by the text's length.
-BANDS = (8, 128, 2048)
-
-
-def distance(a: Column, b: Column) -> Column:
+def by_errors(a: np.ndarray, b: np.ndarray) -> int | None:
+    """Levenshtein distance of code points by the furthest place on each diagonal with 0, 1, 2, … errors; None where by_bits takes less time.
+
+    Takes time by the texts' length and the square of their distance.
+    """
+    n, m = len(a), len(b)
+    a, b = np.append(a, _ENDS[0]), np.append(b, _ENDS[1])  # ends are like nothing, so no place goes beyond them
+    left = 40_000 + n * m // 64  # steps of this way that take about the time of the other
+    far, low = np.full(1, _run(a, b, 0, 0)), 0  # far[t]: the place in a on diagonal low + t, where it is that many less than in b
+    errors = 0
+    while not (low <= m - n < low + len(far) and far[m - n - low] == n):
+        errors += 1
+        first, last = max(low - 1, -n), min(low + len(far), m)
+        wide = np.full(last - first + 3, -1)
+        at = low - first + 1
+        wide[at : at + len(far)] = far
+        low, k = first, np.arange(first, last + 1)
+        far = np.maximum(np.maximum(wide[1:-1], wide[2:]) + 1, wide[:-2])
+        np.minimum(far, np.minimum(n, m - k), out=far)
+        go = np.arange(len(far))
+        for _ in range(6):
+            go = go[a[far[go]] == b[far[go] + k[go]]]
+            if not len(go):
+                break
+            far[go] += 1
+        for t in go:
+            far[t] += _run(a, b, far[t], far[t] + k[t])
+        left -= 300 + 4 * len(far) + 100 * len(go)
+        if left < 0:
+            return None
+    return errors
+
+
+_ENDS = np.array([0xFFFFFFFE, 0xFFFFFFFF], np.uint32)
+
+
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many code points are equal from i and j on; a and b have different ends."""
+    at, size = i, 32
+    while True:
+        n = min(size, len(a) - i, len(b) - j)
+        differ = a[i : i + n] != b[j : j + n]
+        to = int(differ.argmax())
+        if differ[to]:
+            return i + to - at
+        i, j, size = i + n, j + n, min(size * 4, 1 << 16)
+
+
+def by_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance of code points, a column of the table of distances at a time, in bits (Myers, Hyyrö)."""
+    if len(a) < len(b):
+        a, b = b, a
+    places = {c: int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(b).tolist()}
+    every = (1 << len(a)) - 1
+    more, less = every, 0  # where the column grows and falls by one
+    for c in b.tolist():
+        same = places[c]
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        grows = less | (every & ~(across | more))
+        falls = (more & across) << 1
+        grows = (grows << 1) | 1
+        more = (falls | ~(down | grows)) & every
+        less = grows & down & every
+    return len(b) + more.bit_count() - less.bit_count()
+
+
+def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance of whole texts in code points."""
-    near = [F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS]
-    return F.coalesce(*near, F.levenshtein(a, b))
+    if a == b:
+        return 0
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b))
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:short] != b[:short])
+    start = int(unlike[0]) if len(unlike) else short
+    a, b, short = a[start:], b[start:], short - start
+    unlike = np.flatnonzero(a[len(a) - short :] != b[len(b) - short :])
+    end = short - 1 - int(unlike[-1]) if len(unlike) else short
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    found = by_errors(a, b)
+    return by_bits(a, b) if found is None else found
+
+
+@F.pandas_udf(LongType())
+def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of whole texts in code points.
+
+    The built-in function passes over the whole text for each character, with a limit too.
+    """
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def character_error_rate(truth: Column, found: Column) -> Column:
