@@ -133,3 +133,15 @@ def test_json_serialise_keeps_all_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: r["packed"] for r in json_serialise(spark, str(tmp_path)).collect()}
     assert got == {999_999: '{"event_id":999999,"event_type":"view"}', 1_000_000: '{"event_id":1000000,"event_type":"é"}', 5_000_000_000: None}
+
+
+def test_json_serialise_equals_its_sql_on_odd_types(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+
+    rows = [(1, None, "{}"), (2, 'a"b\\c/d', "{}"), (3, "\x01\x1f\x7f\b\t\n", "{}"), (4, "é漢😀\u2028", "{}"), (5, "<&'>", None), (6, "", "{}")]
+    spark.createDataFrame(rows, "event_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    events = duckdb.read_parquet(f"{tmp_path}/events.parquet/*.parquet")  # noqa: F841  the SQL's table
+    want = sorted(duckdb.sql(ORACLE_SQL["json_serialise"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["json_serialise"](spark, str(tmp_path)).collect()) == want

@@ -141,4 +141,4 @@ def json_props_extract(spark, sf_dir):
 @query("SELECT event_id, event_type, CASE WHEN props IS NOT NULL THEN json_object('event_id', event_id, 'event_type', event_type) END AS packed FROM events WHERE event_id < 1000000")
 def json_serialise(spark, sf_dir):
     """Every event; the SQL leaves out ids from 1,000,000 on, which only tables above sf 1 have."""
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("props").isNotNull(), F.to_json(F.struct("event_id", "event_type"))).alias("packed"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("props").isNotNull(), F.to_json(F.struct("event_id", "event_type"), {"ignoreNullFields": "false"})).alias("packed"))
