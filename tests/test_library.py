@@ -77,6 +77,36 @@ def test_event_texts(spark):
     assert both == {9: "text of page 0\ntext of page 1\ntext of page 2"}  # the head is repeated at the top of its three pages
 
 
+def test_event_texts_equal_cleaned_pages_in_one_scan(spark):
+    import random
+
+    from tidemark.operators import cleaning as C
+
+    random.seed(5)
+    words = ["Head line", "head LINE", "12:30", "a body  line", "é texte", "x", "", "foot words here", None]
+    line = lambda i: (random.choice(words), 0.9, random.choice([[], [[0.0, i * 10.0], [50.0, i * 10.0 + 8]]]), random.randrange(2))
+    rows = [(f"g{p % 3}", p, 100, [line(i) for i in range(10)]) for p in range(30)]
+    pages = spark.createDataFrame(rows, "group string, page long, height int, safe array<struct<text:string,confidence:double,polygon:array<array<double>>,event_id:long>>")
+    texts = approval.event_texts(pages)
+    want = {}
+    for e in range(2):
+        own = pages.withColumn("safe", F.filter("safe", lambda x: x["event_id"] == e)).filter(F.size("safe") > 0)  # noqa: B023
+        for r in C.cleaned(own).orderBy("page").collect():
+            want.setdefault((r["group"], e), []).extend([r["text"]] if r["text"] else [])
+    assert {(r["group"], r["event_id"]): r["text"] for r in texts.collect()} == {k: "\n".join(v) for k, v in want.items()}
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+
+
+def test_noise_is_judged_on_a_line_made_once(spark):
+    from tidemark.functions.noise import collapsed_is_noise
+    from tidemark.functions.text import collapse
+
+    lines = spark.range(1).select(F.col("id").cast("string").alias("raw")).select(collapse(F.col("raw")).alias("line"))
+    plan = lines.filter(~collapsed_is_noise(F.col("line"))).select("line")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)") <= 3  # what the filter binds, its lower case, and the line itself
+
+
 def test_relations(spark):
     ev = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "b", 2), (4, None, 3)], "id long, session_id string, previous_event_id long")
     sessions, evidence = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([(1, "x"), (2, "y")], "event_id long, text string")

@@ -37,8 +37,12 @@ def collapsed_is_noise(x: Column, low: Column | None = None) -> Column:
 
     Cheap tests stand before patterns, and patterns are anchored, so that a line takes linear time.
     """
-    if low is None:
-        return F.transform(F.array(F.lower(x)), lambda y: collapsed_is_noise(x, y)).getItem(0)
+    # A lambda's variable holds the line: a filter that is pushed below what makes the line would make it anew for each test.
+    bound = F.struct(x.alias("x"), (F.lower(x) if low is None else low).alias("low"))
+    return F.transform(F.array(bound), lambda b: _tests(b["x"], b["low"])).getItem(0)
+
+
+def _tests(x: Column, low: Column) -> Column:
     terms = sum((low.contains(t).cast("int") for t in TERMS), F.lit(0))
     alone = F.lower(F.regexp_extract(x, r"^([^\s()]+)\([A-Za-z]\)$", 1))
     keys = x.contains("(") & ((F.regexp_count(x, F.lit(ACCESS_KEY)) >= 2) | alone.isin(LABELS))

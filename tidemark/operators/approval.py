@@ -17,16 +17,31 @@ def owned(pages: DataFrame) -> DataFrame:
 
 
 def event_texts(pages: DataFrame) -> DataFrame:
-    """(group, event_id, text): each event's own lines over all pages, cleaned as pages of their own, in page order."""
+    """(group, event_id, text): each event's own lines over all pages, cleaned as pages of their own, in page order.
+
+    As C.cleaned() with an event's pages as a group, but its lines are made once and meet in one shuffle, as its text is one row in any case.
+    """
     lines = pages.select("group", "page", "height", F.posexplode("safe").alias("pos", "x"))
-    some = lines.groupBy("group", "page", "height", F.col("x.event_id").alias("event_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("xs"))
-    # An event's pages are a group for the count of repeated lines.
-    own = some.select(F.struct("group", "event_id").alias("group"), "page", "height", F.transform("xs", lambda s: F.struct(s["x"]["text"].alias("text"), s["x"]["confidence"].alias("confidence"), s["x"]["polygon"].alias("polygon"))).alias("safe"))
-    texts = C.cleaned(own).filter(F.col("text") != "")
-    joined = texts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("parts"))
-    joined = joined.select("group", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
-    every = own.select("group").distinct().join(joined, "group", "left")
-    return every.select("group.group", "group.event_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = lines.select("group", F.col("x.event_id").alias("event_id"), "page", "height", "pos", C.collapse(C.normalised(F.col("x.text"))).alias("line"), "x.polygon")
+    center = C.bound(C.box(F.col("polygon")), lambda b: (b["top"] + b["bottom"]) / 2 / F.col("height"))
+    edge = F.coalesce((F.col("height") > 0) & C.bound(center, C.outer), F.lit(False))
+    noise = F.coalesce(C.collapsed_is_noise(F.col("line")), F.lit(True))  # so are blank lines; they count for the number of pages
+    rows = lines.select("group", "event_id", F.lower("line").alias("key"), F.struct("page", "pos", "line", noise.alias("noise"), edge.alias("edge")).alias("at"))
+    keys = rows.repartition("group", "event_id").groupBy("group", "event_id", "key").agg(F.collect_list("at").alias("at"))
+    page = lambda x: x["page"]
+    n_pages = lambda at: F.size(F.array_distinct(F.transform(at, page)))
+    events = keys.select("group", "event_id", F.struct(n_pages(F.col("at")).alias("n"), "at").alias("k")).groupBy("group", "event_id").agg(F.collect_list("k").alias("keys"))
+
+    def first(at: Column) -> Column:
+        """The first line of each page."""
+        return C.bound(F.array_sort(at), lambda s: F.filter(s, lambda x, i: (i == 0) | ~x["page"].eqNullSafe(F.get(s, i - 1)["page"])))
+
+    def kept(least: Column) -> Column:
+        lines = F.transform("keys", lambda k: first(F.filter(k["at"], lambda x: ~x["noise"] & ~((k["n"] >= least) & x["edge"]))))
+        return F.array_join(F.transform(F.array_sort(F.flatten(lines)), lambda x: x["line"]), "\n")
+
+    least = C.threshold(n_pages(F.flatten(F.transform("keys", lambda k: k["at"]))))
+    return events.select("group", "event_id", C.bound(least, kept).alias("text"))
 
 
 def approve(packs: DataFrame, items: DataFrame, texts: DataFrame, pack_id, root: str, now: dt.datetime, hours: int | None = None) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.noise import EXTENSIONS, collapsed_is_noise
@@ -47,9 +49,18 @@ def outer(center: Column) -> Column:
 def box(polygon: Column) -> Column:
     """Left, right, top and bottom of a polygon; null without points."""
     points = F.filter(polygon, lambda p: F.size(p) >= 2)
-    xs, ys = F.transform(points, lambda p: F.get(p, F.lit(0))), F.transform(points, lambda p: F.get(p, F.lit(1)))
-    made = F.struct(F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))
-    return F.when(F.size(points) > 0, made)
+
+    def made(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: F.get(p, F.lit(0))), F.transform(points, lambda p: F.get(p, F.lit(1)))
+        b = F.struct(F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))
+        return F.when(F.size(points) > 0, b)
+
+    return bound(points, made)
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is made once however often use reads it: the optimiser puts what a column is made of in each place that reads it."""
+    return F.transform(F.array(c), use).getItem(0)
 
 
 def touched(b: Column, redactions: Column, width: Column, height: Column) -> Column:
@@ -72,11 +83,10 @@ def safe_lines(pages: DataFrame) -> DataFrame:
     Without line geometry the page's own text is used, unless there are redactions: then nothing is.
     """
     parsed = F.filter(F.coalesce(F.from_json("metadata_json", LINES)["lines"], F.array()), lambda x: collapse(x["text"]) != "")
-    given = pages.withColumn("__lines", parsed)
-    kept = F.filter("__lines", lambda x: ~touched(box(x["polygon"]), F.col("redactions"), F.col("width"), F.col("height")))
+    hit = lambda x: bound(box(x["polygon"]), lambda b: touched(b, F.col("redactions"), F.col("width"), F.col("height")))
     plain = F.transform(F.filter(lines(F.coalesce("ocr_text", F.lit(""))), lambda x: collapse(x) != ""), lambda x: F.struct(x.alias("text"), F.lit(None).cast("double").alias("confidence"), F.array().cast("array<array<double>>").alias("polygon")))
-    safe = F.when(F.size("__lines") > 0, kept).when(F.size("redactions") > 0, F.array().cast(kept_type())).otherwise(plain)
-    return given.withColumn("safe", safe).drop("__lines")
+    safe = bound(parsed, lambda given: F.when(F.size(given) > 0, F.filter(given, lambda x: ~hit(x))).when(F.size("redactions") > 0, F.array().cast(kept_type())).otherwise(plain))
+    return pages.withColumn("safe", safe)
 
 
 def kept_type() -> str:
