@@ -235,8 +235,10 @@ def stitched_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?<=[.!?]) ", "\n"), "\n"), 1, 12).alias("xs")).filter(F.size("xs") >= 10)
     number = lambda x: x.cast("double")
     box = lambda x, i: F.struct(x.alias("text"), F.lit(5.0).alias("left"), F.lit(200.0).alias("right"), number(20 + 18 * i).alias("top"), number(34 + 18 * i).alias("bottom"))
-    view = lambda first, at: d.select(F.col("doc_id").cast("string").alias("session_id"), (F.col("doc_id") * 2 + F.lit(first > 1).cast("int")).alias("event_id"), F.lit(at).alias("at"), F.lit(180).alias("height"), F.transform(F.slice("xs", first, 7), box).alias("lines"))
-    frames = stitch.chains(view(1, 0.0).unionByName(view(4, 5.0)), "at", "event_id")
+    views = d.select("doc_id", "xs", F.explode(F.array(F.lit(1), F.lit(4))).alias("first"))
+    later = F.col("first") > 1
+    frames = views.select(F.col("doc_id").cast("string").alias("session_id"), (F.col("doc_id") * 2 + later.cast("int")).alias("event_id"), F.when(later, 5.0).otherwise(0.0).alias("at"), F.lit(180).alias("height"), F.transform(F.slice("xs", F.col("first"), F.lit(7)), box).alias("lines"))
+    frames = stitch.chains(frames, "at", "event_id")
     return stitch.stitched(frames, top=15, bottom=15).select("session_id", "page", "n_lines", "total_height", "confidence")
 
 
